@@ -20,7 +20,7 @@ from trailmill.plans.shared_store import Store, small
 from trailmill.sources.tables import table
 
 WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class Rules:
     max_repeat_percent: int = 50
     spread: float = 3.0
     accuracy: int = 10000
-    ranges: dict = field(default_factory=lambda: {"symbol_ratio": (0.10, 0.30), "shout_ratio": (0.15, 0.40), "dup_line_ratio": (0.30, 0.60), "word_length": (12.0, 25.0)})
+    ranges: dict = field(default_factory=lambda: {"symbol_ratio": (0.10, 0.30), "shout_ratio": (0.15, 0.40), "dup_line_ratio": (0.50, 0.75), "word_length": (12.0, 25.0)})
     broadcast_groups: int = 50_000
 
 
@@ -44,21 +44,29 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def repeated_words(words: Column, width: int = 3) -> Column:
-    """Words covered by a window of ``width`` words that is found twice or more, the first one included."""
+def repeated_words(words: Column, width: int = 3, few: int = 24) -> Column:
+    """Words covered by a window of ``width`` words that is found twice or more, the first one included.
+
+    Window hashes are sorted as plain longs. Most texts repeat few windows, which are then looked up directly;
+    beyond ``few`` different ones, (hash, place) pairs are sorted instead, so no text costs more than n log n.
+    """
 
     def windows(w):
-        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(width)]).alias("h"), i.alias("i")))
-        return _let(F.array_sort(hashed), at)
+        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
+        return _let(hashed, lambda h: _let(F.sort_array(h), lambda s: _let(F.array_distinct(F.filter(s, lambda x, i: F.get(s, i - 1) == x)), lambda again: counted(h, again))))
 
-    def at(s):
-        again = F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), x["i"]))
-        return _let(F.array_sort(F.filter(again, lambda p: p.isNotNull())), covered)
+    def counted(h, again):
+        looked_up = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(again, x), i)), lambda p: p.isNotNull())
+        return F.when(F.size(again) == 0, 0).when(F.size(again) <= few, _let(looked_up, covered)).otherwise(paired(h))
+
+    def paired(h):
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return _let(pairs, lambda s: _let(F.sort_array(F.filter(F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), x["i"])), lambda p: p.isNotNull())), covered))
 
     def covered(p):
         return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width)))), F.lit(0), lambda a, b: a + b)
 
-    return F.when(F.size(words) > width, _let(words, windows)).otherwise(0).cast("long")
+    return F.when(F.size(words) > width, windows(words)).otherwise(0).cast("long")
 
 
 def measured(df: DataFrame) -> DataFrame:
@@ -67,32 +75,29 @@ def measured(df: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(text, F.lit(WORD), 0)
 
     def counts(w):
-        lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
+        lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.regexp_replace(text, SYMBOL, ""))).cast("long").alias("n_symbols"),
             _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
             repeated_words(w).alias("n_repeat_words"),
-            (F.length(text) - F.length(F.translate(text, "!", ""))).cast("long").alias("n_shouts"),
+            (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
         )
 
-    m = F.col("_m")
-    per_word = lambda x: x / F.greatest(m["n_words"], F.lit(1))
-    return df.withColumn("_m", _let(words, counts)).withColumn(
-        "_m",
-        F.struct(
-            m["n_words"].alias("n_words"),
-            m["word_chars"].alias("word_chars"),
-            m["n_symbols"].alias("n_symbols"),
+    def ratios(m):
+        per_word = lambda x: x / F.greatest(m["n_words"], F.lit(1))
+        return F.struct(
+            *[m[n].alias(n) for n in ("n_words", "word_chars", "n_symbols")],
             m["lines"]["dup"].alias("n_dup_lines"),
             m["n_repeat_words"].alias("n_repeat_words"),
             per_word(m["n_symbols"]).alias("symbol_ratio"),
             per_word(m["n_shouts"]).alias("shout_ratio"),
             (m["lines"]["dup"] / F.greatest(m["lines"]["n"], F.lit(1))).alias("dup_line_ratio"),
             per_word(m["word_chars"]).alias("word_length"),
-        ),
-    )
+        )
+
+    return df.withColumn("_m", _let(_let(words, counts), ratios))
 
 
 def _base_failed(rules: Rules) -> Column:
@@ -165,6 +170,6 @@ q AS (
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (
     symbol_ratio > least(0.30, greatest(0.10, coalesce(a[2] + 3 * (a[2] - a[1]), 0.10))) OR shout_ratio > least(0.40, greatest(0.15, coalesce(b[2] + 3 * (b[2] - b[1]), 0.15)))
-    OR dup_line_ratio > least(0.60, greatest(0.30, coalesce(c[2] + 3 * (c[2] - c[1]), 0.30))) OR word_length > least(25.0, greatest(12.0, coalesce(e[2] + 3 * (e[2] - e[1]), 12.0)))) AS kept
+    OR dup_line_ratio > least(0.75, greatest(0.50, coalesce(c[2] + 3 * (c[2] - c[1]), 0.50))) OR word_length > least(25.0, greatest(12.0, coalesce(e[2] + 3 * (e[2] - e[1]), 12.0)))) AS kept
 FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
 """
