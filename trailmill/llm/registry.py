@@ -5,7 +5,12 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_packing": "packing",
+    "op2_simhash_near_dedup": "simhash",
     "op4_quality_rules": "quality",
+    "op5_secret_scans": "secret_scan",
+    "op6_substring_dedup": "substring_dedup",
+    "op9_decontamination": "decontam",
 }
 
 QUERIES = {}
