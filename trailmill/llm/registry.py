@@ -7,10 +7,14 @@ from importlib import import_module
 _MODULES = {
     "op1_packing": "packing",
     "op2_simhash_near_dedup": "simhash",
+    "op3_html_extraction": "html_extract",
     "op4_quality_rules": "quality",
     "op5_secret_scans": "secret_scan",
     "op6_substring_dedup": "substring_dedup",
+    "op7_license_scans": "license_scan",
+    "op8_language_model": "language_model",
     "op9_decontamination": "decontam",
+    "op10_chat_formatting": "chat_format",
 }
 
 QUERIES = {}
