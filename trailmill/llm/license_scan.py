@@ -82,7 +82,8 @@ def _let(value: Column, body) -> Column:
 
 
 def _mins(shingles: Column) -> Column:
-    return F.array(*[F.array_min(F.transform(shingles, lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(BANDS)])
+    seeded = lambda j: lambda x: F.xxhash64(x, F.lit(j))
+    return F.array(*[F.array_min(F.transform(shingles, seeded(j))) for j in range(BANDS)])
 
 
 def template_table(spark: SparkSession) -> DataFrame:
