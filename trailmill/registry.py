@@ -1,6 +1,6 @@
 """All queries of the library by name, and the SQL that states the same result."""
 
-from __future__ import annotations
+from trailmill.catalog import ORACLES, QUERIES
+from trailmill.queries import datasets, evaluation, policy, retrieval, rewards, state, text  # noqa: F401
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]
