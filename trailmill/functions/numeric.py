@@ -12,6 +12,11 @@ def jround(value: Column | str, digits: int = 8) -> Column:
     return F.floor(value * F.lit(10.0**digits) + F.lit(0.5)).cast("double") / F.lit(10.0**digits)
 
 
+def stable(value: Column | str, digits: int) -> Column:
+    """Rounded to 10 digits first, so that sums that differ in their last bits fall on the same side of a tie."""
+    return jround(jround(value, 10), digits)
+
+
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), value))
 

@@ -44,3 +44,7 @@ FRACTION_SQL = "(list_reduce(list_prepend(0::BIGINT, list_transform(string_split
 
 def jround_sql(value: str, digits: int = 8) -> str:
     return f"(floor(({value}) * 1e{digits}::DOUBLE + 0.5::DOUBLE) / 1e{digits}::DOUBLE)"
+
+
+def stable_sql(value: str, digits: int) -> str:
+    return jround_sql(jround_sql(value, 10), digits)

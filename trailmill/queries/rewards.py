@@ -1,0 +1,139 @@
+"""Reward and judge queries over test views."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trailmill.catalog import query
+from trailmill.operators import rewards as W
+from trailmill.plans.views import jround_sql as R
+from trailmill.plans.views import stable_sql as S
+from trailmill.sources.tables import table
+
+
+def _online(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("run_id"), (k % 5).alias("n_documents"), F.when(k % 3 == 0, "GROUNDED").when(k % 3 == 1, "PARTIAL").otherwise("NONE").alias("grounding"), F.when(k % 7 == 0, None).otherwise(k % 2 == 0).alias("sufficient"),
+        (F.col("o_totalprice") / 400000).alias("task"), (k % 12).alias("model_calls"), (k % 3).alias("follow_ups"), F.when(k % 4 == 0, None).otherwise(k % 5 + 1).alias("rating"), (k % 4).alias("specialists"), (k % 2).alias("specialist_ok"), ((k % 10) / 10.0).alias("process"),
+    )
+
+
+@query(
+    "online_reward",
+    f"""WITH v AS (SELECT o_orderkey AS run_id, o_orderkey AS k, least(1.0::DOUBLE, o_orderkey % 5 / 2.0::DOUBLE) AS a, CASE o_orderkey % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS g, CASE WHEN o_orderkey % 7 = 0 THEN 0.0::DOUBLE WHEN o_orderkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS e,
+  least(1.0::DOUBLE, greatest(0, o_totalprice / 400000)) AS t, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - 0.08::DOUBLE * greatest(0, o_orderkey % 12 - 4) - 0.12::DOUBLE * (o_orderkey % 3))) AS f, CASE WHEN o_orderkey % 4 = 0 THEN 0.5::DOUBLE ELSE (o_orderkey % 5) / 4.0::DOUBLE END AS r FROM orders),
+b AS (SELECT *, 0.2::DOUBLE * a + 0.25::DOUBLE * g + 0.15::DOUBLE * e + 0.2::DOUBLE * t + 0.1::DOUBLE * f + 0.1::DOUBLE * r AS base, 0.65::DOUBLE * (k % 10) / 10.0::DOUBLE + 0.35::DOUBLE * (k % 2) / greatest(k % 4, 1) AS c FROM v)
+SELECT run_id, {S("CASE WHEN k % 4 > 0 THEN 0.9::DOUBLE * base + 0.1::DOUBLE * c ELSE base END", 6)} AS total FROM b""",
+)
+def online_reward(spark, sf_dir):
+    return W.online_reward(_online(spark, sf_dir)).select("run_id", "total")
+
+
+_TURNS = "p AS (SELECT a.conv_id, a.turn, a.text AS answer, b.text AS solution FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'assistant')"
+
+
+def _pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    a, b = c.where("role = 'assistant'").alias("a"), c.alias("b")
+    return a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") == F.col("b.turn") + 1)).select("a.conv_id", "a.turn", F.col("a.text").alias("answer"), F.col("b.text").alias("solution"))
+
+
+@query(
+    "text_f1",
+    f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(answer), '[a-z0-9]+')) AS w, 1 AS a, 0 AS b FROM p UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(lower(solution), '[a-z0-9]+')), 0, 1 FROM p),
+c AS (SELECT conv_id, turn, w, sum(a) AS a, sum(b) AS b FROM x GROUP BY 1, 2, 3), s AS (SELECT conv_id, turn, sum(least(a, b)) AS k, sum(a) AS na, sum(b) AS nb FROM c GROUP BY 1, 2)
+SELECT p.conv_id, p.turn, CASE WHEN k > 0 THEN {R("2 * (k / na::DOUBLE) * (k / nb::DOUBLE) / (k / na::DOUBLE + k / nb::DOUBLE)", 6)} ELSE 0 END AS f1 FROM p LEFT JOIN s ON s.conv_id = p.conv_id AND s.turn = p.turn""",
+)
+def text_f1(spark, sf_dir):
+    from trailmill.functions.numeric import jround
+
+    return _pairs(spark, sf_dir).select("conv_id", "turn", jround(W.token_f1(F.col("answer"), F.col("solution")), 6).alias("f1"))
+
+
+@query(
+    "rlvr_reward",
+    f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(answer), '[a-z0-9]+')) AS w, 1 AS a, 0 AS b FROM p UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(lower(solution), '[a-z0-9]+')), 0, 1 FROM p),
+c AS (SELECT conv_id, turn, w, sum(a) AS a, sum(b) AS b FROM x GROUP BY 1, 2, 3), s AS (SELECT conv_id, turn, sum(least(a, b)) AS k, sum(a) AS na, sum(b) AS nb FROM c GROUP BY 1, 2),
+l AS (SELECT p.*, list_filter(list_transform(string_split(answer, chr(10)), lambda y: trim(y)), lambda y: length(y) >= 8) AS ls, k, na, nb FROM p LEFT JOIN s ON s.conv_id = p.conv_id AND s.turn = p.turn),
+m AS (SELECT *, CASE WHEN k > 0 THEN 2 * (k / na::DOUBLE) * (k / nb::DOUBLE) / (k / na::DOUBLE + k / nb::DOUBLE) ELSE 0 END AS f1, CASE WHEN length(answer) < 200 THEN length(answer) / 200.0::DOUBLE WHEN length(answer) > 900 THEN 900 / length(answer)::DOUBLE ELSE 1 END AS le,
+  CASE WHEN len(ls) < 2 THEN 0.0::DOUBLE ELSE (len(ls) - len(list_distinct(ls))) / len(ls)::DOUBLE END AS rep FROM l)
+SELECT conv_id, turn, CASE WHEN trim(answer) = '' OR contains(answer, 'Qqq') THEN 0.0::DOUBLE ELSE {S("(0.55::DOUBLE * f1 + 0.25::DOUBLE + 0.20::DOUBLE * le) * (0.5::DOUBLE + 0.5::DOUBLE * (1 - rep))", 6)} END AS total FROM m""",
+)
+def rlvr_reward(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).withColumns({"sources": F.array().cast("array<int>"), "min_chars": F.lit(200), "max_chars": F.lit(900), "forbidden": F.array(F.lit("Qqq"))})
+    return W.rlvr_reward(rows).select("conv_id", "turn", "total")
+
+
+_SCORES = "sc AS (SELECT l_orderkey AS run_id, l_suppkey % 4 AS judge, l_linenumber % 5 AS dimension, 0.75::DOUBLE + l_discount AS score, 1 - l_tax AS confidence FROM lineitem)"
+
+
+def _scores(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 4).alias("judge"), (F.col("l_linenumber") % 5).alias("dimension"), (0.75 + F.col("l_discount")).alias("score"), (1 - F.col("l_tax")).alias("confidence"))
+
+
+_JUDGED = f"""{_SCORES}, one AS (SELECT run_id, judge, dimension, max((confidence, score)) AS s FROM sc GROUP BY 1, 2, 3), o AS (SELECT run_id, dimension, s[2] AS x, s[1] AS c, greatest(0.05::DOUBLE, s[1]) AS w FROM one),
+mu AS (SELECT run_id, sum(x * w) / sum(w) AS mu FROM o GROUP BY 1), g AS (SELECT run_id, max(mu) AS mu, avg(c) AS mc, count(*) AS n, count(DISTINCT dimension) AS dims, sum(abs(x - mu)) / count(*) AS sp FROM o JOIN mu USING (run_id) GROUP BY 1),
+a AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE least(1, greatest(0, 1 - 2 * sp)) END AS ag FROM g), z AS (SELECT *, mc * ag * least(1, dims / 4.0::DOUBLE) AS cf FROM a),
+jd AS (SELECT run_id, n, dims, {S("mu", 6)} AS reward, {S("ag", 6)} AS agreement, {S("cf", 6)} AS confidence, CASE WHEN mu >= 0.75::DOUBLE THEN 'POSITIVE' WHEN mu <= 0.35::DOUBLE THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label,
+  CASE WHEN dims < 4 THEN 'INCOMPLETE' WHEN ag < 0.7::DOUBLE THEN 'DISAGREEMENT' WHEN cf < 0.72::DOUBLE THEN 'LOW_CONFIDENCE' WHEN mu < 0.75::DOUBLE THEN 'HOLD' ELSE 'TRAIN' END AS decision FROM z)"""
+
+
+@query("judge_assessments", f"WITH {_JUDGED} SELECT * FROM jd")
+def judge_assessments(spark, sf_dir):
+    return W.judged(_scores(spark, sf_dir))
+
+
+@query("alignment_metrics", f"WITH {_JUDGED} SELECT label, decision, count(*) AS n, {R('avg(reward)', 6)} AS avg_reward, {R('avg(CASE WHEN agreement < 0.7::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 6)} AS disagreement FROM jd GROUP BY 1, 2")
+def alignment_metrics(spark, sf_dir):
+    return W.alignment_metrics(W.judged(_scores(spark, sf_dir)))
+
+
+@query(
+    "ridge_calibration",
+    f"""WITH v AS (SELECT l_discount AS x1, l_tax AS x2, l_extendedprice / 100000 AS y FROM lineitem), s AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, covar_pop(x1, x2) AS s12, var_pop(x1) + 0.1::DOUBLE / count(*) AS a11, var_pop(x2) + 0.1::DOUBLE / count(*) AS a22, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y, count(*) AS n FROM v),
+b AS (SELECT *, (s1y * a22 - s2y * s12) / (a11 * a22 - s12 * s12) AS b1, (s2y * a11 - s1y * s12) / (a11 * a22 - s12 * s12) AS b2 FROM s), c AS (SELECT n, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM b)
+SELECT max(n) AS n, {R("max(b0)", 5)} AS b0, {R("max(b1)", 5)} AS b1, {R("max(b2)", 5)} AS b2, {R("avg(abs(y - b0 - b1 * x1 - b2 * x2))", 5)} AS mae FROM v, c""",
+)
+def ridge_calibration(spark, sf_dir):
+    return W.ridge(table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("x1"), F.col("l_tax").alias("x2"), (F.col("l_extendedprice") / 100000).alias("y")))
+
+
+@query(
+    "draft_or_revision",
+    "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN floor(l_discount * 100) * 100000 + floor(l_quantity * 1000) > floor(l_tax * 100) * 100000 + floor(l_linenumber * 1000) THEN 'revised' ELSE 'draft' END AS winner FROM lineitem",
+)
+def draft_or_revision(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_discount").alias("revised_score"), F.col("l_quantity").alias("revised_coverage"), F.col("l_tax").alias("draft_score"), F.col("l_linenumber").alias("draft_coverage"))
+    return W.chosen_revision(rows).select("l_orderkey", "l_linenumber", "l_partkey", "winner")
+
+
+@query("judge_cost_bound", "SELECT count(*) AS n, CAST(sum(ceil(n_chars * 1.25::DOUBLE)) * 4 AS BIGINT) AS token_bound FROM documents")
+def judge_cost_bound(spark, sf_dir):
+    return W.cost_bound(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("chars")))
+
+
+@query(
+    "process_reward",
+    f"SELECT conv_id, turn, {R('least(1, CASE WHEN length(trim(text)) > 0 THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END + CASE WHEN turn BETWEEN 1 AND 4 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END + 0.2::DOUBLE * least(1, turn / 5.0::DOUBLE))', 6)} AS process FROM conversations",
+)
+def process_reward(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("findings"), F.array("turn", "turn").alias("sources"), F.lit(4).alias("max_source"), (F.col("turn") / 5.0).alias("confidence"))
+    return W.process_reward(rows).select("conv_id", "turn", "process")
+
+
+_DOMAINS = {"conflict": ["the", "der"], "growth": ["ing", "ung"], "family": ["mente", "ción"], "trust": ["eux"]}
+
+
+@query(
+    "question_router",
+    "WITH v AS (SELECT conv_id, turn, "
+    + "list_filter(["
+    + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{k}')" for k in ks) + f" THEN '{d}' END" for d, ks in _DOMAINS.items())
+    + "], lambda x: x IS NOT NULL) AS ds, contains(lower(text), chr(10)) AS st, length(text) >= 70 AS lo FROM conversations WHERE role = 'user') "
+    + f"SELECT conv_id, turn, {R('least(1, 0.18::DOUBLE * len(ds) + 0.25::DOUBLE * CAST(st AS INTEGER) + 0.15::DOUBLE * CAST(lo AS INTEGER))', 6)} AS complexity, CASE WHEN len(ds) >= 2 THEN 'ADAPTIVE_MULTI_AGENT' ELSE 'SINGLE_AGENT' END AS mode, array_to_string(list_sort(ds), '+') || '|structured=' || CAST(st AS VARCHAR) || '|long=' || CAST(lo AS VARCHAR) AS bucket FROM v",
+)
+def question_router(spark, sf_dir):
+    q = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return W.routed(q, _DOMAINS, structured="\n").select("conv_id", "turn", "complexity", "mode", "bucket")
