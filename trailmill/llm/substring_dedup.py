@@ -39,7 +39,7 @@ _HASHES: dict[bytes, int] = {}
 def _word_hashes(words: list[bytes], remembered: int = 400_000) -> np.ndarray:
     if len(_HASHES) > remembered:
         _HASHES.clear()
-    for w in set(words) - _HASHES.keys():
+    for w in set(words).difference(_HASHES):
         _HASHES[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
