@@ -14,6 +14,10 @@ RUN_SCHEMA = (
 )
 
 
+def _strip(text):
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON file per run; any bad file fails the read."""
     return spark.read.schema(RUN_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(folder)
@@ -39,13 +43,14 @@ def observations(runs: DataFrame) -> DataFrame:
 def read_quarantined(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad files) of a folder with one JSON object per file; a file that does not parse is set aside."""
     kept = T.StructType.fromDDL(schema).add("_corrupt", "string")
-    rows = spark.read.schema(kept).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(folder).withColumn("file", F.input_file_name())
-    return rows.where("_corrupt IS NULL").drop("_corrupt", "file"), rows.where("_corrupt IS NOT NULL").select("file", "_corrupt")
+    files = spark.read.text(folder, wholetext=True).withColumn("file", F.input_file_name())
+    rows = files.select("file", F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return rows.where("r._corrupt IS NULL").select("r.*").drop("_corrupt"), rows.where("r._corrupt IS NOT NULL").select("file", "r._corrupt")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, violations) of JSON lines; blank lines and lines that begin with # are skipped."""
-    lines = spark.read.text(path).withColumn("value", F.trim("value")).where("value <> '' AND NOT startswith(value, '#')")
+    lines = spark.read.text(path).withColumn("value", _strip("value")).where("value <> '' AND NOT startswith(value, '#')")
     parsed = lines.select("value", F.from_json("value", T.StructType.fromDDL(schema).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     return parsed.where("r._bad IS NULL").select("r.*").drop("_bad"), parsed.where("r._bad IS NOT NULL").select("value")
 
@@ -55,14 +60,14 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.text(folder, wholetext=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     plain = F.regexp_replace(F.regexp_replace("value", r"(?s)```.*?```", ""), r"(?m)^>.*$", "")
     parts = files.select("file", F.posexplode(F.split(plain, r"(?m)^\s*(?:---+|\*\*\*+|___+)\s*$")).alias("part", "text"))
-    return parts.withColumn("text", F.trim("text")).where("text <> ''").withColumn("status", F.expr("substring(file, length(file) - 5, 2)"))
+    return parts.withColumn("text", _strip("text")).where("text <> ''").withColumn("status", F.expr("substring(file, length(file) - 5, 2)"))
 
 
 def read_sections(spark: SparkSession, folder: str) -> DataFrame:
     """One row per level-4 section: title, body and its SHA-256."""
     files = spark.read.text(folder, wholetext=True).withColumn("file", F.input_file_name())
     found = files.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?ms)^####\s+(.+?\n.*?)(?=^#{1,4}\s|\z)"), 1)).alias("section", "s"))
-    title, body = F.trim(F.substring_index("s", "\n", 1)), F.trim(F.expr("substr(s, instr(s, chr(10)) + 1)"))
+    title, body = _strip(F.substring_index("s", "\n", 1)), _strip(F.expr("substr(s, instr(s, chr(10)) + 1)"))
     return found.select("file", "section", title.alias("title"), body.alias("answer"), F.sha2(F.concat_ws("\n", title, body), 256).alias("fingerprint"))
 
 
