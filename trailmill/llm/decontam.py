@@ -31,10 +31,17 @@ _NAME = r" (?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)"
 _TOKEN = r"num__[0-9.,:/]+|[\p{L}\p{N}_]+"
 
 
+def _let(value: Column, body) -> Column:
+    """``value`` evaluated once and named inside ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _slotted(text: Column) -> Column:
-    named = F.lower(F.regexp_replace(text, _NAME, " name__$1"))
-    units = F.regexp_replace(named, rf"\b({_NUMBER}) ?({UNITS})\b", "num__$1 unit__$2")
-    return F.when(named.rlike("[0-9]"), F.regexp_replace(units, rf"\b({_NUMBER})\b", "num__$1 ")).otherwise(named)
+    def numbers(named: Column) -> Column:
+        units = F.regexp_replace(named, rf"\b({_NUMBER}) ?({UNITS})\b", "num__$1 unit__$2")
+        return F.when(named.rlike("[0-9]"), F.regexp_replace(units, rf"\b({_NUMBER})\b", "num__$1 ")).otherwise(named)
+
+    return _let(F.lower(F.regexp_replace(text, _NAME, " name__$1")), numbers)
 
 
 def tokens(text: Column) -> Column:
@@ -43,13 +50,8 @@ def tokens(text: Column) -> Column:
 
 
 def _templates(text: Column) -> Column:
-    slotted = _slotted(F.coalesce(text, F.lit("")))
-    bare = F.when(slotted.contains("__"), F.regexp_replace(slotted, r"(name|num|unit)__[\p{L}\p{N}.,:/]+", "$1__")).otherwise(slotted)
-    return F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_]+"), 0)
-
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
+    bare = lambda x: F.when(F.contains(x, F.lit("__")), F.regexp_replace(x, r"(name|num|unit)__[\p{L}\p{N}.,:/]+", "$1__")).otherwise(x)
+    return F.regexp_extract_all(_let(_slotted(F.coalesce(text, F.lit(""))), bare), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
 def _hashes(toks: Column, step: int) -> Column:
@@ -59,20 +61,28 @@ def _hashes(toks: Column, step: int) -> Column:
     return _let(toks, one)
 
 
-def _type(token: Column) -> Column:
-    return F.when(token.rlike("^(name|num|unit)__"), F.regexp_extract(token, "^(name|num|unit)__", 0)).otherwise(token)
+_SLOT = "^(name|num|unit)__"
 
 
 def windows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, at, template, slots, literal): every window of ``WIDTH`` tokens. slots: first place of each slot's value; literal: the values."""
-    toks = df.select(key, tokens(F.col(text)).alias("w")).where(F.size("w") >= WIDTH)
-    cut = toks.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (WIDTH - 1)), lambda i: F.struct(i.alias("at"), F.slice("w", i, WIDTH).alias("x")))).alias("s")).select(key, "s.at", "s.x")
-    held = F.filter("x", lambda v: v.rlike("^(name|num|unit)__"))
-    return (
-        cut.withColumn("v", held)
-        .where(F.lit(WIDTH) - F.size("v") >= LITERALS)
-        .select(key, "at", F.array_join(F.transform("x", _type), " ").alias("template"), F.array_join(F.transform("v", lambda y: F.array_position(F.col("v"), y)), ",").alias("slots"), F.array_join("v", " ").alias("literal"))
-    )
+    """(key, at, template, slots, literal): every window of ``WIDTH`` tokens. template: hash of its typed tokens;
+    slots: first place of each slot's value; literal: the values. Types are found once per text, not per window."""
+
+    def cut(w):
+        typed = F.transform(w, lambda x: F.when(x.rlike(_SLOT), F.regexp_extract(x, _SLOT, 0)).otherwise(x))
+        places = F.sequence(F.lit(0), F.size(w) - WIDTH)
+        return _let(typed, lambda t: F.transform(places, lambda i: F.struct((i + 1).alias("at"), F.xxhash64(*[F.get(t, i + k) for k in range(WIDTH)]).alias("template"), held(w, i).alias("v"))))
+
+    def held(w, i):
+        return F.filter(F.slice(w, i + 1, WIDTH), lambda x: x.rlike(_SLOT))
+
+    def plain(w):
+        return F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.struct((i + 1).alias("at"), F.xxhash64(*[F.get(w, i + k) for k in range(WIDTH)]).alias("template"), F.array().cast("array<string>").alias("v")))
+
+    slots = lambda w: F.exists(w, lambda x: F.contains(x, F.lit("__")))
+    every = _let(tokens(F.col(text)), lambda w: F.when(F.size(w) >= WIDTH, F.when(slots(w), cut(w)).otherwise(plain(w))))
+    out = df.select(key, F.explode(every).alias("s")).select(key, "s.*").where(F.lit(WIDTH) - F.size("v") >= LITERALS)
+    return out.select(key, "at", "template", F.array_join(F.transform("v", lambda y: F.array_position(F.col("v"), y)), ",").alias("slots"), F.array_join("v", " ").alias("literal"))
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -85,7 +95,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, store: Store) -> DataFrame:
     seen = docs.select("doc_id", F.explode(_hashes(_templates(F.col("text")), STEP)).alias("h"))
     hit = store.put(seen.join(_sized(wanted), "h", "left_semi").select(F.col("doc_id").alias("_id")).distinct())
     again = docs.select("doc_id", "text").join(_sized(hit), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    mine = windows(again, "doc_id", "text").select("doc_id", "template", "slots", "literal").distinct()
+    mine = windows(again, "doc_id", "text").select("doc_id", "template", "slots", "literal")
     theirs = store.put(windows(benchmark.select("item_id", "text"), "item_id", "text"))
     both = mine.join(_sized(theirs.withColumnRenamed("literal", "own")), ["template", "slots"])
     return both.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_windows"), (~F.bool_or(F.col("literal") == F.col("own"))).alias("reparameterised"))
