@@ -1,6 +1,6 @@
 """All queries of the library by name, and the SQL that states the same result."""
 
 from trailmill.catalog import ORACLES, QUERIES
-from trailmill.queries import datasets, evaluation, policy, retrieval, rewards, state, streams, text  # noqa: F401, I001
+from trailmill.queries import datasets, delivery, evaluation, policy, retrieval, rewards, state, streams, text  # noqa: F401, I001
 
 __all__ = ["ORACLES", "QUERIES"]
