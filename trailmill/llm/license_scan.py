@@ -5,8 +5,8 @@ occurrence lies whole in one window and the two shingle sets differ by the strid
 one row each, a window of Jaccard similarity s is retrieved with probability 1 - (1 - s)^BANDS: a window that
 verifies has s of at least 0.57 for the strides used, which leaves less than 2e-6 to chance.
 
-Only texts with a word of a hitting set are cut into windows: the set meets every shingle of every template, and a
-window that verifies shares at least one, so nothing can be missed. Templates are a constant list.
+Only windows with a word of a hitting set are made: the set meets more than a fifth of each template's shingles, and a
+window that verifies shares at least four fifths, so it shares one that is met and nothing can be missed. Templates are a constant list.
 
 Defined results: null and empty texts match nothing; repeated rows are counted together under their id; the same
 licence in several places is one row with the number of windows that verify.
@@ -14,6 +14,7 @@ licence in several places is one row with the number of windows that verify.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ from trailmill.sources.tables import table
 
 SHINGLE, BANDS, CONTAINMENT = 5, 16, 0.8
 #: Words that are no sign of a licence by themselves.
-COMMON = frozenset("a an and any are at by copy extent file following for form free hereby in is law may no of on option or part person possible public rights source subject terms that the this to under use version with without work you".split())
+COMMON = frozenset("a all an and any are at by copy extent file following for form free hereby in is law may no of on option or part person possible public rights source subject terms that the this to under use version with without work you".split())
 _TOKEN = r"[\p{L}\p{N}]+"
 #: Wording of common licence notices.
 TEMPLATES = {
@@ -61,19 +62,24 @@ def stride(n: int) -> int:
     return max(1, n // 8)
 
 
+def needed(shingles: list[str]) -> int:
+    """How many of a template's shingles must be met so that every window that verifies shares a met one."""
+    return len(shingles) - math.ceil(CONTAINMENT * len(shingles)) + 1
+
+
 def hitting_words() -> list[str]:
-    """Words that together occur in every shingle of every template, greedily; common ones only where a shingle has no other."""
-    left = {s for _, _, _, ss in notices() for s in ss}
+    """Uncommon words that meet enough shingles of every template, greedily."""
+    todo = [(set(ss), needed(ss)) for _, _, _, ss in notices()]
     words: list[str] = []
-    while left:
+    met = lambda ss: sum(any(w in s.split() for w in words) for s in ss)
+    while lacking := [ss for ss, n in todo if met(ss) < n]:
         counts: dict[str, int] = {}
-        for s in left:
-            own = set(s.split())
-            for w in own - COMMON or own:
-                counts[w] = counts.get(w, 0) + 1
-        best = max(counts, key=lambda w: (counts[w], len(w), w))
-        words.append(best)
-        left = {s for s in left if best not in s.split()}
+        for ss in lacking:
+            for s in ss:
+                if not any(w in s.split() for w in words):
+                    for w in set(s.split()) - COMMON:
+                        counts[w] = counts.get(w, 0) + 1
+        words.append(max(counts, key=lambda w: (counts[w], len(w), w)))
     return sorted(words)
 
 
@@ -81,33 +87,61 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _mins(shingles: Column) -> Column:
-    seeded = lambda j: lambda x: F.xxhash64(x, F.lit(j))
-    return F.array(*[F.array_min(F.transform(shingles, seeded(j))) for j in range(BANDS)])
+def _shingle_hashes(w: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+
+
+def _seeded(hashes: Column) -> Column:
+    """``BANDS`` rows of hashes, one per seed."""
+    of = lambda j: lambda x: F.xxhash64(x, F.lit(j))
+    return F.array(*[F.transform(hashes, of(j)) for j in range(BANDS)])
 
 
 def template_table(spark: SparkSession) -> DataFrame:
     """(license, notice, tokens, shingles, band, value): constant and small."""
     base = spark.createDataFrame(notices(), "license string, notice int, tokens int, shingles array<string>")
-    return base.select("*", F.posexplode(_mins(F.col("shingles"))).alias("band", "value"))
+    hashes = F.transform("shingles", lambda x: _let(F.split(x, " "), lambda p: F.xxhash64(*[F.get(p, F.lit(k)) for k in range(SHINGLE)])))
+    mins = _let(hashes, lambda h: F.transform(_seeded(h), F.array_min))
+    return base.select("*", F.posexplode(mins).alias("band", "value"))
+
+
+def _windows(w: Column, classes: list[int]) -> Column:
+    """Windows of every class that hold a word of the hitting set: array of (tokens, at, x, mins).
+
+    Hashes and their seeded forms are made once per place; a window only takes minima of slices.
+    """
+    marks = F.array(*[F.lit(x) for x in hitting_words()])
+    hits = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(marks, x), i)), lambda i: i.isNotNull())
+
+    def starts(h: Column, n: int) -> Column:
+        s, width = stride(n), n + stride(n) - 1
+        last = F.floor((F.size(w) - SHINGLE) / F.lit(s)).cast("int")
+
+        def around(p: Column) -> Column:
+            low = F.greatest(F.lit(0), F.ceil((p - (width - 1)) / F.lit(s)).cast("int"))
+            high = F.least(last, F.floor(p / F.lit(s)).cast("int"))
+            return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda k: k * s)).otherwise(F.array().cast("array<int>"))
+
+        return F.array_distinct(F.flatten(F.transform(h, around)))
+
+    def one(m: Column, n: int):
+        width = n + stride(n) - 1
+        return lambda i: F.struct(F.lit(n).alias("tokens"), i.alias("at"), F.slice(w, i + 1, width).alias("x"), F.transform(m, lambda r: F.array_min(F.slice(r, i + 1, width - SHINGLE + 1))).alias("mins"))
+
+    return _let(hits, lambda h: _let(_shingle_hashes(w), lambda g: _let(_seeded(g), lambda m: F.concat(*[F.transform(starts(h, n), one(m, n)) for n in classes]))))
 
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, license, first_token, n_windows, containment): the first token of the first window that verifies, how many do, and the best share."""
-    spark = docs.sparkSession
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    some = docs.where(low.rlike(r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(hitting_words()) + r")(?:$|[^\p{L}\p{N}])")).select(F.col(key).alias("key"), F.regexp_extract_all(low, F.lit(_TOKEN), 0).alias("w"))
+    some = docs.where(low.rlike(r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(hitting_words()) + r")(?:$|[^\p{L}\p{N}])"))
     classes = sorted({n for _, _, n, _ in notices()})
-
-    def windows(n: int) -> Column:
-        starts = F.sequence(F.lit(0), F.size("w") - SHINGLE, F.lit(stride(n)))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("tokens"), i.alias("at"), F.slice("w", i + 1, n + stride(n) - 1).alias("x")))
-
-    cut = some.where(F.size("w") >= SHINGLE).select("key", F.explode(F.concat(*[windows(n) for n in classes])).alias("s")).select("key", "s.*")
-    shingled = cut.select("key", "tokens", "at", F.transform(F.sequence(F.lit(1), F.size("x") - (SHINGLE - 1)), lambda i: F.array_join(F.slice("x", i, SHINGLE), " ")).alias("own"))
-    banded = shingled.where(F.size("own") > 0).select("*", F.posexplode(_mins(F.col("own"))).alias("band", "value"))
-    found = banded.join(F.broadcast(template_table(spark)), ["tokens", "band", "value"])
-    share = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
+    cut = _let(F.regexp_extract_all(low, F.lit(_TOKEN), 0), lambda w: F.when(F.size(w) >= SHINGLE, _windows(w, classes)))
+    rows = some.select(F.col(key).alias("key"), F.explode(cut).alias("s")).select("key", "s.*")
+    banded = rows.select("key", "tokens", "at", "x", F.posexplode("mins").alias("band", "value"))
+    found = banded.join(F.broadcast(template_table(docs.sparkSession)), ["tokens", "band", "value"])
+    own = F.transform(F.sequence(F.lit(1), F.size("x") - (SHINGLE - 1)), lambda i: F.array_join(F.slice("x", i, SHINGLE), " "))
+    share = F.size(F.array_intersect(own, F.col("shingles"))) / F.size("shingles")
     right = found.withColumn("share", share).where(F.col("share") >= CONTAINMENT)
     return right.groupBy("key", "license").agg(F.min("at").alias("first_token"), F.countDistinct("notice", "at").alias("n_windows"), F.floor(F.max("share") * 10000 + 0.5).alias("containment")).withColumnRenamed("key", key)
 
