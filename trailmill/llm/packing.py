@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterable, Iterator
 
@@ -44,7 +45,7 @@ class Encoder:
     white-space parts (as little-endian 16 bit), which equal those of the text in one call.
     """
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -61,18 +62,25 @@ class Encoder:
         return [m[1], m[2]] if m and b"<|" not in word else [low if b"<|" not in word else word]
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > self.remembered:
-            self.words.clear()
-            self.parts.clear()
-        cut = {w: self._parts_of(w) for w in new}
-        todo = sorted({p for ps in cut.values() for p in ps} - self.parts.keys())
+        parts, words = self.parts, self.words
+        # Words of ASCII letters, with one mark behind them or none, need no pattern.
+        plain = [(w, w.lower()) for w in new if w.isalpha()]
+        marked = [(w, w[:-1].lower(), w[-1:]) for w in new if not w.isalpha() and w[:-1].isalpha() and w.isascii()]
+        cut = [(w, self._parts_of(w)) for w in new if not w.isalpha() and not (w[:-1].isalpha() and w.isascii())]
+        todo = {p for _, p in plain}
+        todo.update(x for _, p, m in marked for x in (p, m))
+        todo.update(p for _, ps in cut for p in ps)
+        todo = list(todo.difference(parts))
         for k in range(0, len(todo), 4096):
             some = todo[k : k + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in some], add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, "<u2").tobytes()
-        parts = self.parts
-        for w, ps in cut.items():
-            self.words[w] = parts[ps[0]] if len(ps) == 1 else b"".join(map(parts.__getitem__, ps))
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False), strict=True):
+                parts[p] = array("H", e.ids).tobytes()
+        for w, p in plain:
+            words[w] = parts[p]
+        for w, p, m in marked:
+            words[w] = parts[p] + parts[m]
+        for w, ps in cut:
+            words[w] = b"".join([parts[p] for p in ps])
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         split = [t.split() for t in texts]
@@ -83,7 +91,7 @@ class Encoder:
             while upto < len(split) and (n < 200_000 or upto == at):
                 n += len(split[upto])
                 upto += 1
-            new = set().union(*split[at:upto]) - self.words.keys()
+            new = set().union(*split[at:upto]).difference(self.words)
             if new:
                 if len(self.words) + len(new) > self.remembered:
                     self.words.clear()
