@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.functions.numeric import jround
+from trailmill.functions.numeric import jround, stable
 from trailmill.functions.text import any_phrase, citations, concept_coverage, length_quality
 from trailmill.plans.shared_store import small
 
@@ -34,11 +34,11 @@ def variant_summary(executions: DataFrame, *by: str) -> DataFrame:
     """Per variant: mean score, pass rate (score of .7 and more), latency, tokens, cost, failures."""
     return executions.groupBy(*by).agg(
         F.count("*").alias("n"),
-        jround(F.avg("score"), 6).alias("avg_score"),
-        jround(F.avg((F.col("score") >= 0.7).cast("double")), 6).alias("pass_rate"),
-        jround(F.avg("latency_ms"), 6).alias("avg_latency"),
+        stable(F.avg("score"), 6).alias("avg_score"),
+        stable(F.avg((F.col("score") >= 0.7).cast("double")), 6).alias("pass_rate"),
+        stable(F.avg("latency_ms"), 6).alias("avg_latency"),
         F.sum("tokens").alias("tokens"),
-        jround(F.sum("cost"), 4).alias("cost"),
+        stable(F.sum("cost"), 4).alias("cost"),
         F.count_if("failed").alias("failures"),
     )
 

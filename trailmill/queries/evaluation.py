@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trailmill.catalog import query
 from trailmill.operators import evaluation as E
 from trailmill.plans.views import jround_sql as R
+from trailmill.plans.views import stable_sql as S
 from trailmill.sources.tables import table
 
 #: Cases are part keys; the variants are the return flags of their lines, scored by discount.
@@ -26,7 +27,7 @@ def executions(spark, sf_dir):
     return ex.join(part, ex["case_id"] == part["p_partkey"]).select(*ex.columns, F.array("p_brand", "p_type", "p_brand").alias("tags"))
 
 
-_SUM = f"count(*) AS n, {R('avg(score)', 6)} AS avg_score, {R('avg(CASE WHEN score >= 0.7::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 6)} AS pass_rate, {R('avg(latency_ms)', 6)} AS avg_latency, CAST(sum(tokens) AS BIGINT) AS tokens, {R('sum(cost)', 4)} AS cost, count(*) FILTER (failed) AS failures"
+_SUM = f"count(*) AS n, {S('avg(score)', 6)} AS avg_score, {S('avg(CASE WHEN score >= 0.7::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 6)} AS pass_rate, {S('avg(latency_ms)', 6)} AS avg_latency, CAST(sum(tokens) AS BIGINT) AS tokens, {S('sum(cost)', 4)} AS cost, count(*) FILTER (failed) AS failures"
 _CMP = f"""w AS (SELECT case_id, max(score) FILTER (variant = 'baseline') AS base, max(score) FILTER (variant = 'candidate') AS cand, bool_or(failed) FILTER (variant = 'baseline') AS bf, bool_or(failed) FILTER (variant = 'candidate') AS cf FROM ex GROUP BY 1),
 c AS (SELECT case_id, base, cand, {R("cand - base", 6)} AS delta, bf, cf FROM w WHERE base IS NOT NULL AND cand IS NOT NULL)"""
 
