@@ -1,4 +1,4 @@
-"""Training-corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, secret scans, packing.
+"""Training-corpus pipeline: quality rules, near-dedup, benchmark decontamination, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 docs of the next. All but the last return the columns of their docs, whatever those are; only doc_id, text, lang
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.llm import decontam, packing, quality, secret_scan, simhash
+from trailmill.llm import decontam, near_copies, packing, quality, secret_scan
 from trailmill.plans.shared_store import Store, small
 from trailmill.sources.tables import table
 
@@ -35,9 +35,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    store = Store(spark, "stage-simhash")
+    store = Store(spark, "stage-near-copies")
     rows = store.put(_wrapped(docs).withColumn("row", F.monotonically_increasing_id()))
-    groups = simhash.clustered(rows, store, key="row").select("row", "component")
+    groups = near_copies.clustered(rows, store, key="row")
     ids = rows.select("row", F.coalesce(F.col("_doc.doc_id"), F.lit((1 << 63) - 1)).alias("id"))
     members = store.put(groups.join(ids, "row").select("component", F.struct("id", "row").alias("m")))
     first = members.groupBy("component").agg(F.min("m").alias("m"), F.count("*").alias("n")).where("n > 1")

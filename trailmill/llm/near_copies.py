@@ -1,0 +1,115 @@
+"""Near copies of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+SimHash distance is no bound on that similarity (at 0.8 about ten of 64 bits differ), so MinHash bands find the
+pairs and the exact similarity of the whole sets decides. A pair at 0.8 shares none of 30 bands of five rows with
+probability (1 - 0.8^5)^30 < 1e-5.
+
+1. ``sketches``: one pass over whole texts; equal sets collapse to one ``sig``.
+2. ``candidates``: in a bucket of at most ``ALL_PAIRS`` different sets every pair is taken, in a larger one each set
+   with the least and the greatest of the bucket, which keeps the pairs linear in the size of a group.
+3. ``links``: only texts in candidate pairs are moved, as arrays of shingle hashes; ``components`` joins what verifies.
+
+Defined results: null and empty texts have the empty set and are copies of each other; a text of up to five words is
+its own only shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trailmill.llm.simhash import components
+from trailmill.plans.shared_store import Store, small
+
+WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
+ALL_PAIRS = 16
+BROADCAST_ROWS = 500_000
+_MULTIPLY = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted different hashes (uint64) of a UTF-8 text's word shingles."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= WIDTH:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-WIDTH])).tolist()
+    stops = (ends[WIDTH - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key (int64) per band: the minima of its rows, hashed with the band's number."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 1024):
+        mixed = hashes[k : k + 1024, None] * _MULTIPLY
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(low, mixed.min(axis=0), out=low)
+    rows = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), j) for j, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def sketches(df: DataFrame, key: str) -> DataFrame:
+    """(key, sig, n, bands): the hash and size of the shingle set, and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py() or b"") for t in b.column(1).cast(pa.large_binary())]
+            sig = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets), np.uint64, len(sets)).view(np.int64)
+            bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig), pa.array([len(s) for s in sets], pa.int64()), bands], names=[key, "sig", "n", "bands"])
+
+    return df.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"`{key}` long, sig long, n long, bands array<long>")
+
+
+def candidates(sketched: DataFrame, store: Store) -> DataFrame:
+    """(a, b), a < b: different sets that share a band and whose sizes allow the similarity."""
+    cells = store.put(sketched.select("sig", "n", F.explode("bands").alias("bucket")).distinct())
+    sized = cells.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("sig", "n")).alias("least"), F.max(F.struct("sig", "n")).alias("most"))
+    sized = store.put(sized.where("c > 1"))
+    few, many = sized.where(F.col("c") <= ALL_PAIRS), sized.where(F.col("c") > ALL_PAIRS)
+    held = store.put(cells.join(few.select("bucket"), "bucket"))
+    other = held.select("bucket", F.col("sig").alias("b"), F.col("n").alias("m"))
+    pairs = held.select("bucket", F.col("sig").alias("a"), "n").join(other, "bucket").where("a < b").select("a", "n", "b", "m")
+    many = many.select("bucket", F.explode(F.array("least", "most")).alias("x"))
+    many = F.broadcast(many) if small(many, BROADCAST_ROWS) else many
+    stars = cells.join(many, "bucket").select(F.col("x.sig").alias("a"), F.col("x.n").alias("n"), F.col("sig").alias("b"), F.col("n").alias("m"))
+    stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.col("n"), F.greatest("a", "b").alias("b"), F.col("m"))
+    fits = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m") - 1e-9
+    return store.put(pairs.unionByName(stars).where(fits).select("a", "b").distinct())
+
+
+def links(docs: DataFrame, sketched: DataFrame, store: Store, key: str) -> DataFrame:
+    """(a, b): candidate pairs whose sets are similar enough, from the whole texts."""
+    pairs = candidates(sketched, store)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    reps = store.put(sketched.groupBy("sig").agg(F.min(key).alias(key)).join(wanted, "sig", "left_semi"))
+    reps = F.broadcast(reps) if small(reps, BROADCAST_ROWS) else reps
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py() or b"").view(np.int64) for t in b.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "x"])
+
+    sets = store.put(docs.select(key, "text").join(reps, key).select("sig", "text").mapInArrow(run, "sig long, x array<long>"))
+    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("x").alias("y")), "b")
+    met = F.size(F.array_intersect("x", "y"))
+    return store.put(both.where(met >= SIMILARITY * (F.size("x") + F.size("y") - met) - 1e-9).select("a", "b"))
+
+
+def clustered(docs: DataFrame, store: Store, key: str) -> DataFrame:
+    """(key, component): rows of ``docs`` (key, text; key unique), alike for rows that are joined by near copies."""
+    sketched = store.put(sketches(docs, key))
+    named = store.put(components(links(docs, sketched, store, key), store))
+    named = F.broadcast(named) if small(named, BROADCAST_ROWS) else named
+    return sketched.join(named, sketched["sig"] == named["node"], "left").select(key, F.coalesce("root", "sig").alias("component"))
