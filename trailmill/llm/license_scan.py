@@ -164,3 +164,48 @@ SELECT doc_id, license, CAST(min(pos) AS INTEGER) AS first_token, count(DISTINCT
 
 
 ORACLE_SQL = _oracle()
+
+#: Notices below SHINGLE tokens. Such a notice is its own only shingle, so a window holds it whole or not at all.
+SHORT = {"Proprietary": ("All rights reserved.",)}
+
+
+def short_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, license, first_token, n_windows, containment) of the notices of ``SHORT``, as ``matches`` has them."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    short = [(name, _tokens(t)) for name, ts in SHORT.items() for t in ts]
+    some = docs.where(low.rlike("|".join(r"[^\p{L}\p{N}]+".join(x) for _, x in short)))
+
+    def places(w: Column, x: list[str]) -> Column:
+        same = lambda i: F.array_join(F.slice(w, i + 1, len(x)), " ") == " ".join(x)
+        return F.filter(F.sequence(F.lit(0), F.size(w)), same)
+
+    def named(at: Column, name: str) -> Column:
+        return F.transform(at, lambda i: F.struct(F.lit(name).alias("license"), i.alias("at")))
+
+    found = _let(F.regexp_extract_all(low, F.lit(_TOKEN), 0), lambda w: F.flatten(F.array(*[named(places(w, x), name) for name, x in short])))
+    rows = some.select(F.col(key), F.explode(found).alias("s")).select(key, "s.*")
+    return rows.groupBy(key, "license").agg(F.min("at").alias("first_token"), F.count("*").alias("n_windows"), F.lit(10000).cast("long").alias("containment"))
+
+
+def all_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The matches of every notice, long and short, one row per key and licence."""
+    both = matches(docs, key, text).unionByName(short_matches(docs, key, text))
+    return both.groupBy(key, "license").agg(F.min("first_token").alias("first_token"), F.sum("n_windows").alias("n_windows"), F.max("containment").alias("containment"))
+
+
+def query_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_matches(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _oracle_all() -> str:
+    rows = ", ".join(f"('{name}', {len(_tokens(t))}, '{' '.join(_tokens(t))}')" for name, ts in SHORT.items() for t in ts)
+    return rf"""
+WITH long AS ({ORACLE_SQL}), n(license, k, x) AS (VALUES {rows}),
+sd AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}') AS w FROM documents),
+sp AS (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM sd),
+sh AS (SELECT doc_id, license, CAST(min(pos) AS INTEGER) AS first_token, count(*) AS n_windows, 10000::BIGINT AS containment FROM sp JOIN n ON array_to_string(w[pos + 1:pos + k], ' ') = x GROUP BY 1, 2)
+SELECT doc_id, license, min(first_token) AS first_token, CAST(sum(n_windows) AS BIGINT) AS n_windows, max(containment) AS containment FROM (SELECT * FROM long UNION ALL SELECT * FROM sh) GROUP BY 1, 2
+"""
+
+
+ORACLE_SQL_ALL = _oracle_all()
