@@ -46,6 +46,24 @@ def hybrid(spark, sf_dir):
     return R.fused(R.vector_topk(*_vectors(spark, sf_dir), k=10), R.lexical_topk(*_texts(spark, sf_dir), k=10), 5).na.fill(0, ["vrank", "lrank"])
 
 
+_TERMS = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]{{2,}}'))"
+_PLAIN = "regexp_replace(lower(coalesce({0}, '')), '[^\\p{{Han}}a-z0-9]', '', 'g')"
+
+
+@query(
+    "hybrid_rerank",
+    f"""WITH {_VECTOR}, {_LEXICAL}, j AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.item_id, l.item_id) AS item_id, v.score AS vs, v.rank AS vrank, l.score AS cov, l.rank AS lrank FROM v FULL JOIN l ON v.query_id = l.query_id AND v.item_id = l.item_id),
+t AS (SELECT j.*, {_TERMS.format("b.text")} AS qs, {_TERMS.format("d.text")} AS ds, {_PLAIN.format("b.text")} AS qp, {_PLAIN.format("d.text")} AS dp FROM j LEFT JOIN benchmark b ON b.item_id = j.query_id LEFT JOIN documents d ON d.doc_id = j.item_id),
+c AS (SELECT *, greatest(coalesce(cov, 0), CASE WHEN len(qs) > 0 THEN {jround_sql("len(list_intersect(qs, ds)) / len(qs)::DOUBLE", 6)} ELSE 0 END) AS coverage, CASE WHEN length(qp) BETWEEN 2 AND 24 AND contains(dp, qp) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM t),
+s AS (SELECT *, {jround_sql("0.45::DOUBLE * (coalesce(0.6::DOUBLE * 61 / (60 + vrank), 0) + coalesce(0.4::DOUBLE * 61 / (60 + lrank), 0)) + 0.30::DOUBLE * coverage + 0.20::DOUBLE * least(1, greatest(0, coalesce(vs, 0))) + 0.05::DOUBLE * bonus", 4)} AS score FROM c)
+SELECT query_id, item_id, score, coalesce(vrank, 0) AS vrank, coalesce(lrank, 0) AS lrank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.vrank NULLS LAST, s.lrank NULLS LAST, item_id) AS rank FROM s QUALIFY rank <= 5""",
+)
+def hybrid_rerank(spark, sf_dir):
+    """The whole score of the reference; hybrid_rank_fusion keeps the coverage of the lexical list only, as its SQL states."""
+    hits = R.vector_topk(*_vectors(spark, sf_dir), k=10), R.lexical_topk(*_texts(spark, sf_dir), k=10)
+    return R.reranked(*hits, *_texts(spark, sf_dir), 5).na.fill(0, ["vrank", "lrank"])
+
+
 @query("dynamic_k", "SELECT conv_id, turn, least(6, greatest(3, CASE WHEN length(text) <= 10 THEN 3 WHEN length(text) <= 22 THEN 4 ELSE 5 END + CAST(regexp_matches(text, '[,，;；、]|以及|同时|分别') AS INTEGER))) AS k FROM conversations WHERE role = 'user'")
 def dynamic_k(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", R.dynamic_k(F.col("text")).alias("k"))
