@@ -48,6 +48,12 @@ def stable_hash(spark, sf_dir):
     return _docs(spark, sf_dir).where(F.length("text") > 0).select("doc_id", java_hash(F.substring("text", 1, 50)).alias("h"))
 
 
+@query("stable_hash_key", "SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM documents")
+def stable_hash_key(spark, sf_dir):
+    """The hash of the whole routing key (doc_id as text) for every row; stable_hash reads 50 characters, as its SQL states."""
+    return _docs(spark, sf_dir).select("doc_id", java_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+
+
 @query("concept_coverage", f"SELECT doc_id, {R('(CAST(contains(lower(text), $$the$$) OR contains(lower(text), $$der$$) AS INTEGER) + CAST(contains(lower(text), $$ing$$) AS INTEGER)) / 2.0::DOUBLE', 6)} AS coverage FROM documents")
 def concept_coverage(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", jround(T.concept_coverage(F.col("text"), F.array(F.lit("the|der"), F.lit("ing"))), 6).alias("coverage"))
