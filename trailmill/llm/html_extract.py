@@ -8,8 +8,14 @@ fitted here on ``TRAINING_PAGES`` generated, labelled pages (``synthetic``), a f
 Decoding is a dynamic program over the tree: an element is kept whole, dropped whole, or mixed, and only a mixed
 one lets its children choose; so nothing is kept inside what was dropped, and the other way round.
 
-Defined results: null, empty and text-free pages give an empty text; markup that never closes is closed at the
-end; rows are independent, so repeated rows give repeated results. Every page is read whole.
+What lies in an element that shows no text of its own (``DROPPED``, hidden) is dropped with it. A page without any
+mark of structure (no class, id or role that hints at a part, no list, link, form, table or sectioning element) has
+nothing to tell apart: all that it shows is its text.
+
+Defined results: null, empty and text-free pages give an empty text, an empty table no rows; markup that never closes
+is closed at the end; rows are independent, so repeated rows give repeated results; equal worth is kept whole before
+it is dropped whole before it is mixed; every page is read whole, however long; columns other than ``keep`` and the
+source are not read, so none but those can clash.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ ORACLE_SQL = None
 TRAINING_PAGES = 250
 SEED = 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*+)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -66,6 +72,8 @@ for _k, _words in enumerate(HINTS.values()):
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 TAGS = ("nav", "header", "footer", "aside", "article", "main", "section", "div", "p", "ul", "ol", "li", "a", "form", "table", "td", "tr", "figure", "figcaption", "blockquote", "pre", "span", "b", "em", "dl", "dialog", "h1", "h2")
 _TAG_AT = {t: k for k, t in enumerate(TAGS)}
+#: Elements that give a page structure.
+STRUCTURE = frozenset("a nav header footer aside article main section form ul ol dl table dialog menu details fieldset input figure".split())
 _INSIDE = {"a": 1, "li": 4} | dict.fromkeys(("p", "blockquote", "pre", *_HEADINGS), 2)
 _FIELDS = frozenset("input textarea select button label form".split())
 
@@ -108,7 +116,7 @@ class Page:
         self.hint.append(hint)
         self.above.append(0 if top else self.above[parent] | self.hint[parent])
         self.inside.append((0 if top else self.inside[parent]) | _INSIDE.get(tag, 0))
-        self.hidden.append(hidden)
+        self.hidden.append(hidden or tag in DROPPED or (not top and self.hidden[parent]))
         if not top:
             self.kids[parent] += 1
         return len(self.parent) - 1
@@ -312,25 +320,28 @@ class Trees:
         return out
 
 
-def decoded(page: Page, score: list[float], weight: list[float], switch: float = 3.0) -> list[bool]:
-    """Which elements' own text is kept. score: log odds; weight: of an element's own text.
+def states(page: Page, score: list[float], weight: list[float], switch: float = 3.0) -> list[int]:
+    """Of each element: 0 dropped whole, 1 kept whole, 2 mixed with its own text kept, 3 mixed without it.
 
-    keep and drop are the worth of a subtree of one kind, mixed lets each child take its best state at a cost.
+    score: log odds; weight: of an element's own text. keep and drop are the worth of a subtree of one kind, mixed lets
+    each child take its best state at a cost; hidden elements are never worth keeping.
     """
-    n, parent = len(page.parent), page.parent
-    keep = [-1e6 if t in DROPPED or h else s * w for t, h, s, w in zip(page.tag, page.hidden, score, weight, strict=True)]
-    drop = [-s * w for s, w in zip(score, weight, strict=True)]
+    n, parent, never = len(page.parent), page.parent, page.hidden
+    keep = [-1e6 if h else s * w for h, s, w in zip(never, score, weight, strict=True)]
+    drop = [0.0 if h else -s * w for h, s, w in zip(never, score, weight, strict=True)]
+    own = [abs(d) for d in drop]
     best, kids = [0.0] * n, [0.0] * n
+    mixed = [-1e9] * n
     for k in range(n - 1, -1, -1):
-        own = abs(drop[k]) if not page.kids[k] else abs(score[k] * weight[k])
-        mixed = own + kids[k] - switch if page.kids[k] else -1e9
-        best[k] = max(keep[k], drop[k], mixed)
+        if page.kids[k]:
+            mixed[k] = own[k] + kids[k] - switch
+        best[k] = max(keep[k], drop[k], mixed[k])
         p = parent[k]
         if p >= 0:
             keep[p] += keep[k]
             drop[p] += drop[k]
             kids[p] += best[k]
-    state = [0] * n  # 0 drop, 1 keep, 2 mixed and own text kept, 3 mixed and own text dropped
+    state = [0] * n
     for k in range(n):
         up = state[parent[k]] if k else 2
         if up < 2:
@@ -340,8 +351,15 @@ def decoded(page: Page, score: list[float], weight: list[float], switch: float =
         elif best[k] == drop[k]:
             state[k] = 0
         else:
-            state[k] = 2 if score[k] > 0 else 3
-    return [x in (1, 2) and t not in DROPPED for x, t in zip(state, page.tag, strict=True)]
+            state[k] = 2 if score[k] > 0 and not never[k] else 3
+    return state
+
+
+def decoded(page: Page, score: list[float], weight: list[float], switch: float = 3.0) -> list[bool]:
+    """Which elements' own text is kept."""
+    if not any(page.hint) and not STRUCTURE.intersection(page.tag):
+        return [not h for h in page.hidden]
+    return [x in (1, 2) and not h for x, h in zip(states(page, score, weight, switch), page.hidden, strict=True)]
 
 
 def blocks(page: Page, kept: list[bool] | None = None) -> str:
