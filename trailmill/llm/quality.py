@@ -1,12 +1,16 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Counts per document come from array expressions over its words, so no document leaves its row. Each
-(lang, source) group is summarised by quantile sketches (``percentile_approx``: partial sketches are merged
-after the map side), the upper fence of each measure is clamped into a stated range, and the fences are
-joined back to the documents.
-
-Defined results: a null text has no words and fails the base rule; null ``lang`` or ``source`` is a group of
-its own; repeated rows are judged one by one and alike; other columns pass through ``judged`` untouched.
+Counts per document come from array expressions over its words, so no document leaves its row. Every (lang, source)
+group is summarised by quantile sketches (``percentile_approx``: partial sketches are merged after the map side), and
+its fences, q75 + spread * (q75 - q25) and below q25 for the word length, are joined back to the documents. No fence is
+held in a fixed range. Rates are smoothed by one, (n + 1) / (words + 1), so that a measure which is zero in most
+documents still has a spread, and the fence of a clean group lies at a few hits in a short text. A group of fewer than
+``min_group`` documents takes the fences of its language, a small language those of the whole table.
+
+Defined results: a null text has no words and fails the base rule; null ``lang`` or ``source`` is a group of its own;
+repeated rows are judged one by one and alike; a measure equal to its fence passes; a very long text is counted whole;
+an empty table gives no rows; ``judged`` adds one struct column, named by the caller, and leaves all others as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,17 +29,15 @@ SYMBOL = "[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rules:
-    """Base limits, and for each adaptive measure the range (low, high) its fence is held in.
-
-    fence = q75 + spread * (q75 - q25) of the group, then clamped: a clean group cannot reject ordinary
-    documents, and a group made of junk cannot lift the fence above what is plainly junk.
-    """
+    """Base limits and the adaptive measures: upper fences, and lower ones too where ``both`` names the measure."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    spread: float = 3.0
+    measures: tuple[str, ...] = ("symbol_rate", "shout_rate", "dup_line_rate", "word_length")
+    both: tuple[str, ...] = ("word_length",)
+    spread: float = 6.0
+    min_group: int = 50
     accuracy: int = 10000
-    ranges: dict = field(default_factory=lambda: {"symbol_ratio": (0.10, 0.30), "shout_ratio": (0.15, 0.40), "dup_line_ratio": (0.50, 0.75), "word_length": (12.0, 25.0)})
     broadcast_groups: int = 50_000
 
 
@@ -69,9 +71,9 @@ def repeated_words(words: Column, width: int = 3, few: int = 24) -> Column:
     return F.when(F.size(words) > width, windows(words)).otherwise(0).cast("long")
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """The documents with a struct ``m`` of counts and ratios."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def measures(text: Column) -> Column:
+    """A struct of the counts and rates of a text."""
+    text = F.coalesce(text, F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), 0)
 
     def counts(w):
@@ -85,69 +87,81 @@ def measured(df: DataFrame) -> DataFrame:
             (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
         )
 
-    def ratios(m):
-        per_word = lambda x: x / F.greatest(m["n_words"], F.lit(1))
+    def rates(m):
         return F.struct(
             *[m[n].alias(n) for n in ("n_words", "word_chars", "n_symbols")],
             m["lines"]["dup"].alias("n_dup_lines"),
             m["n_repeat_words"].alias("n_repeat_words"),
-            per_word(m["n_symbols"]).alias("symbol_ratio"),
-            per_word(m["n_shouts"]).alias("shout_ratio"),
-            (m["lines"]["dup"] / F.greatest(m["lines"]["n"], F.lit(1))).alias("dup_line_ratio"),
-            per_word(m["word_chars"]).alias("word_length"),
+            ((m["n_symbols"] + 1) / (m["n_words"] + 1)).alias("symbol_rate"),
+            ((m["n_shouts"] + 1) / (m["n_words"] + 1)).alias("shout_rate"),
+            ((m["lines"]["dup"] + 1) / (m["lines"]["n"] + 1)).alias("dup_line_rate"),
+            (m["word_chars"] / F.greatest(m["n_words"], F.lit(1))).alias("word_length"),
         )
 
-    return df.withColumn("_m", _let(_let(words, counts), ratios))
+    return _let(_let(words, counts), rates)
 
 
-def _base_failed(rules: Rules) -> Column:
-    m = F.col("_m")
+def _base_failed(rules: Rules, m: Column) -> Column:
     return (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
 
 
 def fences(m: DataFrame, rules: Rules) -> DataFrame:
-    """One row per (lang, source): the clamped upper fence of each measure. Base failures are left out of the sketches."""
-    names = list(rules.ranges)
-    sketches = [F.percentile_approx(F.when(~_base_failed(rules), F.col("_m")[n]), [0.25, 0.75], rules.accuracy).alias(n) for n in names]
-    out = m.groupBy("lang", "source").agg(*sketches)
-
-    def fence(n):
-        low, high = rules.ranges[n]
-        q1, q3 = F.col(n)[0], F.col(n)[1]
-        return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(q3 + rules.spread * (q3 - q1), F.lit(low)))).alias(f"_{n}")
-
-    return out.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[fence(n) for n in names])
-
+    """One row per (lang, source) with documents that pass the base rule: (lang, source, low, high), structs by measure.
 
-def judged(df: DataFrame, rules: Rules | None = None, store: Store | None = None) -> DataFrame:
-    """All rows of ``df`` with ``_m``, ``base_failed`` and ``kept``. Needs columns text, lang and source."""
-    rules = rules or Rules()
-    store = store or Store(df.sparkSession, "quality")
-    return _judge(store.put(measured(df)), rules, store)
-
-
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return judged_counts(docs, Rules(), Store(spark, "quality"))
+    m: lang, source, m. The sketches of groups, languages and the table come from one aggregate over grouping sets.
+    """
+    fine = m.where(~_base_failed(rules, F.col("m"))).select("lang", "source", *[F.col("m")[n].alias(n) for n in rules.measures])
+    sketches = [F.percentile_approx(n, [0.25, 0.75], rules.accuracy).alias(n) for n in rules.measures]
+    every = fine.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("k"), F.struct(*sketches).alias("q"))
+    group = every.where("level = 0").select("lang", "source", F.col("k").alias("k0"), F.col("q").alias("q0"))
+    language = every.where("level = 1").select(F.col("lang").alias("of"), F.col("k").alias("k1"), F.col("q").alias("q1"))
+    table_ = every.where("level = 3").select(F.col("q").alias("q3"))
+    chosen = group.join(language, F.col("lang").eqNullSafe(F.col("of"))).crossJoin(F.broadcast(table_))  # the last is one row
+    q = F.when(F.col("k0") >= rules.min_group, F.col("q0")).when(F.col("k1") >= rules.min_group, F.col("q1")).otherwise(F.col("q3"))
+    chosen = chosen.select("lang", "source", q.alias("q"))
+    at = lambda n, k, sign: (F.col("q")[n][k] + sign * rules.spread * (F.col("q")[n][1] - F.col("q")[n][0])).alias(n)
+    return chosen.select("lang", "source", F.struct(*[at(n, 0, -1) for n in rules.both]).alias("low"), F.struct(*[at(n, 1, 1) for n in rules.measures]).alias("high"))
+
+
+def verdicts(m: DataFrame, rules: Rules, store: Store) -> DataFrame:
+    """``m`` (lang, source, m and others, written before) with ``base_failed`` and ``kept``."""
+    limits = store.put(fences(m, rules).withColumnsRenamed({"lang": "_of", "source": "_from"}))
+    if small(limits, rules.broadcast_groups):
+        limits = F.broadcast(limits)
+    joined = m.join(limits, m["lang"].eqNullSafe(limits["_of"]) & m["source"].eqNullSafe(limits["_from"]), "left")
+    over = F.lit(False)
+    for n in rules.measures:
+        over = over | F.coalesce(F.col("m")[n] > F.col("high")[n], F.lit(False))
+    for n in rules.both:
+        over = over | F.coalesce(F.col("m")[n] < F.col("low")[n], F.lit(False))
+    failed = _base_failed(rules, F.col("m"))
+    return joined.select(*m.columns, failed.alias("base_failed"), (~failed & ~over).alias("kept"))
+
+
+def judged(df: DataFrame, name: str = "quality", rules: Rules | None = None, store: Store | None = None) -> DataFrame:
+    """All rows and columns of ``df`` (text, lang, source) and a struct ``name``: the measures, ``base_failed`` and ``kept``."""
+    if name in df.columns:
+        raise ValueError(f"there is a column {name} already")
+    rules, store = rules or Rules(), store or Store(df.sparkSession, "quality")
+    # Everything but the texts goes into one struct, so that no name can clash.
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"])
+    rows = df.select(rest.alias("_doc"), "text", F.col("lang"), F.col("source"), measures(F.col("text")).alias("m"))
+    out = verdicts(store.put(rows), rules, store)
+    own = F.struct(*[F.col("m")[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *rules.measures)], "base_failed", "kept")
+    return out.select(*[F.col("text") if c == "text" else F.col("_doc")[c].alias(c) for c in df.columns], own.alias(name))
 
 
 def judged_counts(docs: DataFrame, rules: Rules, store: Store) -> DataFrame:
     """The digest of the query: the same judgement over a table of counts alone, without texts."""
-    counts = measured(docs).select("doc_id", "lang", "source", "_m")
-    out = _judge(store.put(counts), rules, store)
-    m = F.col("_m")
+    counts = docs.select("doc_id", "lang", "source", measures(F.col("text")).alias("m"))
+    out = verdicts(store.put(counts), rules, store)
+    m = F.col("m")
     return out.select("doc_id", *[m[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
-def _judge(m: DataFrame, rules: Rules, store: Store) -> DataFrame:
-    limits = store.put(fences(m, rules))
-    if small(limits, rules.broadcast_groups):
-        limits = F.broadcast(limits)
-    joined = m.join(limits, m["lang"].eqNullSafe(limits["_lang"]) & m["source"].eqNullSafe(limits["_source"]), "left")
-    over = F.lit(False)
-    for n, (low, _) in rules.ranges.items():
-        over = over | (F.col("_m")[n] > F.coalesce(F.col(f"_{n}"), F.lit(low)))
-    return joined.withColumn("base_failed", _base_failed(rules)).withColumn("kept", ~F.col("base_failed") & ~over).drop("_lang", "_source", *[f"_{n}" for n in rules.ranges])
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return judged_counts(docs, Rules(), Store(spark, "quality"))
 
 
 ORACLE_SQL = r"""
@@ -159,17 +173,19 @@ cover AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_repeat_words FROM (SELECT rid,
 m AS (
   SELECT rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-    coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(length(t) - length(translate(t, '!', '')) AS DOUBLE) / greatest(len(ws), 1) AS shout_ratio, len(ls) AS n_lines
+    coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) - length(translate(t, '!', '')) AS n_shouts, len(ls) AS n_lines
   FROM w LEFT JOIN cover USING (rid)),
 r AS (
-  SELECT *, CAST(n_symbols AS DOUBLE) / greatest(n_words, 1) AS symbol_ratio, CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS dup_line_ratio, CAST(word_chars AS DOUBLE) / greatest(n_words, 1) AS word_length,
+  SELECT *, CAST(n_symbols + 1 AS DOUBLE) / (n_words + 1) AS a, CAST(n_shouts + 1 AS DOUBLE) / (n_words + 1) AS b, CAST(n_dup_lines + 1 AS DOUBLE) / (n_lines + 1) AS c, CAST(word_chars AS DOUBLE) / greatest(n_words, 1) AS e,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 q AS (
-  SELECT lang, source, quantile_disc(symbol_ratio, [0.25, 0.75]) FILTER (NOT base_failed) AS a, quantile_disc(shout_ratio, [0.25, 0.75]) FILTER (NOT base_failed) AS b,
-    quantile_disc(dup_line_ratio, [0.25, 0.75]) FILTER (NOT base_failed) AS c, quantile_disc(word_length, [0.25, 0.75]) FILTER (NOT base_failed) AS e FROM r GROUP BY lang, source)
+  SELECT lang, source, grouping(lang, source) AS level, count(*) AS k, quantile_disc(a, [0.25, 0.75]) AS a, quantile_disc(b, [0.25, 0.75]) AS b, quantile_disc(c, [0.25, 0.75]) AS c, quantile_disc(e, [0.25, 0.75]) AS e
+  FROM r WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+f AS (
+  SELECT g.lang, g.source, CASE WHEN g.k >= 50 THEN g.a WHEN l.k >= 50 THEN l.a ELSE t.a END AS fa, CASE WHEN g.k >= 50 THEN g.b WHEN l.k >= 50 THEN l.b ELSE t.b END AS fb,
+    CASE WHEN g.k >= 50 THEN g.c WHEN l.k >= 50 THEN l.c ELSE t.c END AS fc, CASE WHEN g.k >= 50 THEN g.e WHEN l.k >= 50 THEN l.e ELSE t.e END AS fe
+  FROM q g JOIN q l ON g.lang IS NOT DISTINCT FROM l.lang JOIN q t ON true WHERE g.level = 0 AND l.level = 1 AND t.level = 3)
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (
-    symbol_ratio > least(0.30, greatest(0.10, coalesce(a[2] + 3 * (a[2] - a[1]), 0.10))) OR shout_ratio > least(0.40, greatest(0.15, coalesce(b[2] + 3 * (b[2] - b[1]), 0.15)))
-    OR dup_line_ratio > least(0.75, greatest(0.50, coalesce(c[2] + 3 * (c[2] - c[1]), 0.50))) OR word_length > least(25.0, greatest(12.0, coalesce(e[2] + 3 * (e[2] - e[1]), 12.0)))) AS kept
-FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
+  NOT base_failed AND NOT coalesce(a > fa[2] + 6 * (fa[2] - fa[1]) OR b > fb[2] + 6 * (fb[2] - fb[1]) OR c > fc[2] + 6 * (fc[2] - fc[1]) OR e > fe[2] + 6 * (fe[2] - fe[1]) OR e < fe[1] - 6 * (fe[2] - fe[1]), false) AS kept
+FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
 """
