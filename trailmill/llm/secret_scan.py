@@ -6,10 +6,13 @@ name or an endpoint, a name or an endpoint for a weak secret. That is an interva
 parts of a document are ordered once in each direction and carry the nearest complementary end so far, so no
 pairs are formed however many parts a document has.
 
-Positions are code points: the texts between matches (``split``) and the matches themselves alternate.
+Positions are code points: the texts between matches (``split``) and the matches themselves alternate, and places are
+running sums, taken in blocks so that the work grows in proportion to the matches of a text.
 
-Defined results: a null text has no spans; repeated rows are scanned one by one; other columns pass through
-``scanned``; an empty table gives an empty result.
+Defined results: a null text has no spans; repeated rows are scanned one by one; spans that begin alike are listed by
+kind, then end; a part that has complements on both sides is reported once; very long texts are scanned whole;
+``scanned`` adds one struct column, named by the caller, and leaves all others as they are, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,25 +46,48 @@ def _cheap(kind: str) -> str:
     return f"{pattern[:-1]}{{{least},}}" if not group and pattern.endswith("]+") and "|" not in pattern and kind != "access" else pattern
 
 
+def _let(value: Column, body) -> Column:
+    """``value`` evaluated once and named inside ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, op, block: int = 128) -> Column:
+    """For each value (longs of zero and more) ``op`` over all values before it, 0 for the first: in blocks, then over the blocks."""
+    zero = F.lit(0).cast("long")
+    step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    scan = lambda v, first: F.aggregate(v, F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out")), step, lambda a: a["out"])
+
+    def blocked(v):
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, block))
+        return _let(cut, lambda c: _let(scan(F.transform(c, lambda x: F.aggregate(x, zero, op)), zero), lambda firsts: F.flatten(F.transform(c, lambda x, k: scan(x, F.get(firsts, k))))))
+
+    return _let(values, lambda v: F.when(F.size(v) <= block, scan(v, zero)).otherwise(blocked(v)))
+
+
 def spans(text: Column, kind: str) -> Column:
     """Passing matches of one kind: array of (start, rank, end)."""
     _, pattern, group, least, holds = KINDS[kind]
     rank = list(KINDS).index(kind)
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     tested = F.regexp_extract_all(text, F.lit(pattern), group) if group else matches
-    rows = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(tested, F.length).alias("least"), matches.alias("m"))
+    length = lambda x: F.length(x).cast("long")
+    rows = F.arrays_zip(F.transform(F.split(text, pattern, -1), length).alias("gap"), F.transform(matches, length).alias("size"), F.transform(tested, F.length).alias("least"), matches.alias("m"))
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        ok = x["least"] >= least
-        for h in holds:
-            ok = ok & x["m"].rlike(h)
-        found = F.when(ok, F.concat(acc["found"], F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))))).otherwise(acc["found"])
-        return F.struct(F.coalesce(end, start).alias("at"), found.alias("found"))
+    def found(r):
+        def one(before):
+            def span(x, i):
+                ok = x["least"] >= least
+                for h in holds:
+                    ok = ok & x["m"].rlike(h)
+                start = F.get(before, i) + x["gap"]
+                return F.when(ok, F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), (start + x["size"]).cast("int").alias("end")))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
-    return F.when(text.rlike(_cheap(kind)), F.aggregate(rows, begin, step, lambda a: a["found"])).otherwise(F.array().cast(_SPAN))
+            return F.filter(F.transform(r, span), lambda x: x.isNotNull())
+
+        return _let(running(F.transform(r, lambda x: x["gap"] + x["size"]), lambda a, x: a + x), one)
+
+    real = F.filter(rows, lambda x: x["m"].isNotNull())
+    return F.when(text.rlike(_cheap(kind)), _let(real, found).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def _linkable(spans_: Column) -> Column:
@@ -69,11 +95,16 @@ def _linkable(spans_: Column) -> Column:
     return F.exists(spans_, lambda s: s["rank"].isin(ranks("secret"))) & F.exists(spans_, lambda s: s["rank"].isin(ranks("name", "place")))
 
 
-def scanned(df: DataFrame, store: Store, text: str = "text", scope: int = SCOPE, keep_text: bool = True) -> DataFrame:
-    """The columns of ``df`` (without the text if not ``keep_text``), ``_base`` and ``_spans``: arrays of (start, rank, end), sorted."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    kept = df.columns if keep_text else [c for c in df.columns if c != text]
-    found = df.select(*kept, F.sort_array(F.concat(*[spans(t, k) for k in BASE])).alias("_base"), F.concat(*[spans(t, k) for k in WEAK]).alias("_weak"))
+def scanned(df: DataFrame, store: Store, name: str = "secrets", text: str = "text", scope: int = SCOPE, keep_text: bool = True) -> DataFrame:
+    """The columns of ``df`` (without the text if not ``keep_text``) and a struct ``name``: base and spans, arrays of (start, rank, end), sorted."""
+    if name in df.columns:
+        raise ValueError(f"there is a column {name} already")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    names = [c for c in df.columns if c != text]
+    # All other columns go into one struct, so that no name can clash.
+    own = [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("_doc"), *([F.col(f"`{text}`").alias("_text")] if keep_text else [])]
+    kept = ["_doc", "_text"][: len(own)]
+    found = df.select(*own, F.sort_array(F.concat(*[spans(t, k) for k in BASE])).alias("_base"), F.concat(*[spans(t, k) for k in WEAK]).alias("_weak"))
     found = found.withColumn("_all", F.concat("_base", "_weak")).withColumn("_link", (F.size("_weak") > 0) & _linkable(F.col("_all")))
     found = store.put(found.withColumn("_row", F.monotonically_increasing_id()))
     alone = found.where(~F.col("_link")).select(*kept, "_base", F.col("_base").alias("_spans"))
@@ -88,30 +119,44 @@ def scanned(df: DataFrame, store: Store, text: str = "text", scope: int = SCOPE,
     linked = parts.withColumn("_s", near(secret)).withColumn("_n", near(~secret)).where(weak & F.when(secret, F.col("_n")).otherwise(F.col("_s")))
     linked = linked.groupBy("_row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("_more"))
     joined = both.join(linked, "_row", "left").select(*kept, "_base", F.sort_array(F.concat("_base", F.coalesce("_more", F.array().cast(_SPAN)))).alias("_spans"))
-    return alone.unionByName(joined)
+    out = alone.unionByName(joined)
+    columns = [F.col("_text").alias(c) if c == text else F.col("_doc")[c].alias(c) for c in df.columns if keep_text or c != text]
+    return out.select(*columns, F.struct(F.col("_base").alias("base"), F.col("_spans").alias("spans")).alias(name))
 
 
-def written(spans_: str) -> Column:
+def written(spans_: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans_, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans_: Column) -> Column:
-    """``text`` with every stretch that spans cover replaced by one mark."""
+def redacted(text: Column, spans_: Column, block: int = 1024) -> Column:
+    """``text`` with every stretch that spans cover replaced by one mark. The text is cut into blocks once, so that no cut counts characters from its start."""
+
+    def cut(b, start, end):
+        i, j = F.floor(start / block).cast("int"), F.floor(end / block).cast("int")
+        rest = lambda x: F.pmod(x, F.lit(block)).cast("int")
+        within = F.substring(F.get(b, i), rest(start) + 1, (end - start).cast("int"))
+        across = F.concat(F.substring(F.get(b, i), rest(start) + 1, F.lit(block)), F.array_join(F.slice(b, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.coalesce(F.substring(F.get(b, j), F.lit(1), rest(end)), F.lit("")))
+        return F.when(start >= end, "").when(i == j, within).otherwise(across)
+
+    def whole(b):
+        ends = F.transform(spans_, lambda s: s["end"].cast("long"))
+
+        def joined(reach):
+            piece = lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(cut(b, F.get(reach, i), s["start"].cast("long")), F.lit(MARK))).otherwise("")
+            return F.concat(F.array_join(F.transform(spans_, piece), ""), cut(b, F.array_max(ends), F.length(text).cast("long")))
 
-    def step(acc, s):
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+        return _let(running(ends, lambda a, x: F.greatest(a, x)), joined)
 
-    whole = F.aggregate(spans_, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans_) > 0, whole).otherwise(text)
+    return F.when(F.size(spans_) > 0, _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), 0), whole)).otherwise(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scanned(docs, Store(spark, "secrets"), keep_text=False)
-    count = lambda k: F.size(F.filter("_base", lambda s: s["rank"] == BASE.index(k))).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", *[count(k) for k in BASE], F.sha2(written("_base"), 256).alias("base_sha256"), written("_spans").alias("spans"))
+    base, every = F.col("secrets.base"), F.col("secrets.spans")
+    count = lambda k: F.size(F.filter(base, lambda s: s["rank"] == BASE.index(k))).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *[count(k) for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(every).alias("spans"))
 
 
 def _oracle() -> str:
