@@ -3,16 +3,20 @@
 1. Every window is tied to one phrase inside it, the ``GRAM``-word phrase with the least hash (the leftmost of
    equals). Equal windows choose the same phrase at the same place, so a window can recur only if its phrase does.
    Runs of windows with one phrase form a fragment; per document only about one phrase in fourteen words is kept.
-2. Phrases are counted over all documents (partial counts first); documents without a recurring one are done.
-3. Fragments of recurring phrases are counted by content. A fragment found twice recurs as a whole. The others of
-   its phrase are dealt to shards by phrase: each shard confirms the recurring windows, compiles them to an
-   Aho-Corasick automaton over word numbers, and streams its fragments through it to locate every occurrence.
-   Phrases with more different fragments than ``shard_rows`` are instead counted window by window, so no phrase
-   has to fit a task.
+2. Phrases are counted over all documents (partial counts first). A document without a recurring phrase cannot hold a
+   recurring window; all others go on.
+3. Their fragments meet by phrase, each different content once with its count, so that copies cost no more than one. A
+   shard confirms the windows that recur among its phrases, compiles them to Aho-Corasick automata (a word is one
+   character, at most ``WINDOWS_AT_ONCE`` windows an automaton) and streams all fragments of these phrases through them:
+   every occurrence is located by an automaton.
+   Phrases with more different contents than ``shard_rows`` do not fit a task; their windows are counted one by one in
+   the cluster, which is exact too.
 4. The located windows return to their documents, which drop the covered words.
 
 Windows are judged on the input. Defined results: null and empty texts have no words; a document shorter than a
-window keeps all of its words; repeated rows are different places, so each loses what the other holds.
+window keeps all of its words; repeated rows are different places, so each loses what the other holds; of equal phrase
+hashes the leftmost counts; a very long text is cut into fragments like any other; an empty table gives no rows; columns
+other than key and text are not read, so no name can clash.
 """
 
 from __future__ import annotations
@@ -27,29 +31,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmill.llm.words import numbered, pieces
 from trailmill.plans.shared_store import Store, small
 from trailmill.sources.tables import table
 
 ORACLE_SQL = None
 WINDOW, GRAM = 35, 8
 _SPAN = WINDOW - GRAM + 1
-_HASHES: dict[bytes, int] = {}
+WINDOWS_AT_ONCE = 8000
 
 
-def _word_hashes(words: list[bytes], remembered: int = 400_000) -> np.ndarray:
-    if len(_HASHES) > remembered:
-        _HASHES.clear()
-    for w in set(words).difference(_HASHES):
-        _HASHES[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def fragments_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, phrase hash) of the runs of windows that share a phrase."""
-    n = len(words) - WINDOW + 1
+def fragments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, number of windows, phrase hash) of the runs of windows that share a phrase."""
+    number, words, begin = numbered(texts)
+    n, grams = len(number) - WINDOW + 1, len(number) - GRAM + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    w, grams = _word_hashes(words), len(words) - GRAM + 1
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    digest = xxhash.xxh64_intdigest
+    w = np.fromiter((digest(x) for x in words.to_pylist()), np.uint64, len(words))[number]
     h = np.zeros(grams, np.uint64)
     for k in range(GRAM):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + grams]
@@ -64,8 +63,12 @@ def fragments_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         at = np.where(other, at[step:], at[: len(at) - step])
         least = np.where(other, least[step:], least[: len(least) - step])
         reach += step
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return first, np.diff(np.append(first, n)), h[at[first]].view(np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(begin))[:n]
+    place = np.flatnonzero(np.arange(n) + WINDOW <= begin[owner + 1])  # windows that end in their text
+    phrase = at[place]
+    edge = np.flatnonzero(np.append(True, phrase[1:] != phrase[:-1])) if len(place) else np.empty(0, np.int64)
+    owner = owner[place[edge]]
+    return owner, place[edge] - begin[owner], np.diff(np.append(edge, len(place))), h[phrase[edge]].view(np.int64)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -75,11 +78,9 @@ def _texts(column: pa.Array) -> list[bytes]:
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = b.column(0).to_numpy()
-        for k in range(0, b.num_rows, 1000):
-            found = [fragments_of(t.split()) for t in _texts(b.column(1).slice(k, 1000))]
-            owner = np.repeat(rows[k : k + 1000], [len(f[0]) for f in found])
-            first, size, h = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h)], names=["row", "first", "n", "phrase"])
+        for k, texts in pieces(b.column(1)):
+            owner, first, size, h = fragments(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[k + owner]), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h)], names=["row", "first", "n", "phrase"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], remembered: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -121,34 +122,39 @@ def _windows(frag: bytes) -> list[bytes]:
 
 
 def located(group: list[tuple[int, bytes, int, bytes]]) -> Iterator[tuple[int, bytes, int]]:
-    """Of (phrase, content, count, words): which windows of the fragments found once recur, as a bit mask.
+    """Of (phrase, content, count, words): which windows of each fragment recur, as a bit mask, where any does.
 
     All fragments of a phrase must be in ``group``; several phrases may be.
     """
     import ahocorasick
 
-    count: Counter[bytes] = Counter()
-    for _, _, n, frag in group:
-        for w in _windows(frag):
-            count[w] += n
-    once = [(p, c, frag) for p, c, n, frag in group if n == 1]
-    confirmed = {w for _, _, frag in once for w in _windows(frag) if count[w] > 1}
+    split = [frag.split(b" ") for *_, frag in group]
+    letter = {w: chr(k + 1 if k < 0xD7FF else k + 0x801) for k, w in enumerate(set().union(*split))}  # no surrogates
+    fragments_ = ["".join(map(letter.__getitem__, words)) for words in split]
+    del split
+    count: Counter[str] = Counter()
+    for (_, _, n, _), x in zip(group, fragments_, strict=True):
+        windows = [x[k : k + WINDOW] for k in range(len(x) - WINDOW + 1)]
+        count.update(windows)
+        if n > 1:
+            count.update(windows)
+    confirmed = [w for w, n in count.items() if n > 1]
     del count
-    number: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for w in confirmed:
-        automaton.add_word(tuple([number.setdefault(x, len(number) + 1) for x in w.split(b" ")]), 1)
-    if confirmed:
+    masks = [0] * len(group)
+    for k in range(0, len(confirmed), WINDOWS_AT_ONCE):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for w in confirmed[k : k + WINDOWS_AT_ONCE]:
+            automaton.add_word(w)
         automaton.make_automaton()
-    for p, c, frag in once:
-        mask = 0
-        if confirmed:
-            for end, _ in automaton.iter(tuple([number.get(x, 0) for x in frag.split(b" ")])):
-                mask |= 1 << end - (WINDOW - 1)
-        yield p, c, mask
+        for j, x in enumerate(fragments_):
+            for end, _ in automaton.iter(x):
+                masks[j] |= 1 << end - (WINDOW - 1)
+    for (p, c, _, _), mask in zip(group, masks, strict=True):
+        if mask:
+            yield p, c, mask
 
 
-def _shard(batches: Iterator[pa.RecordBatch], rows_at_once: int = 4000) -> Iterator[pa.RecordBatch]:
+def _shard(batches: Iterator[pa.RecordBatch], rows_at_once: int = 1000) -> Iterator[pa.RecordBatch]:
     """Input sorted by phrase; a group of rows is closed only where the phrase changes."""
     held: list[tuple] = []
 
@@ -215,23 +221,16 @@ def deduplicated(docs: DataFrame, store: Store, key: str = "doc_id", shard_rows:
 
     mine = d.join(rows, "row", "left_semi").select("row", "text")
     cut = store.put(mine.join(live, "row").select("row", "text", "found").mapInArrow(_cut, _CUT))
-    counts = store.put(cut.groupBy("phrase", "content").agg(F.count("*").alias("c")))
-    mixed = counts.groupBy("phrase").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 AND least = 1")
-    words = cut.where("words IS NOT NULL").select("phrase", "content", "words").dropDuplicates(["phrase", "content"])
-    unsettled = counts.join(mixed, "phrase").join(words, ["phrase", "content"]).select("phrase", "content", "c", "words", "kinds")
-    unsettled = store.put(unsettled)
-    near = unsettled.where(F.col("kinds") <= shard_rows).select("phrase", "content", "c", "words").repartition("phrase").sortWithinPartitions("phrase")
+    contents = store.put(cut.groupBy("phrase", "content").agg(F.count("*").alias("c"), F.max("words").alias("words")))
+    large = store.put(contents.groupBy("phrase").agg(F.count("*").alias("kinds")).where(F.col("kinds") > shard_rows).select("phrase"))
+    hot = F.broadcast(large) if small(large, broadcast_rows) else large
+    near = contents.join(hot, "phrase", "left_anti").select("phrase", "content", "c", "words").repartition("phrase").sortWithinPartitions("phrase")
     masks = near.mapInArrow(_shard, "phrase long, content binary, mask int")
-    large = unsettled.where(F.col("kinds") > shard_rows)
     if large.limit(1).count():
-        single = store.put(large.select("phrase", "content", "c", "words").mapInArrow(_single_windows, "phrase long, content binary, n long, at int, window binary"))
+        single = store.put(contents.join(hot, "phrase", "left_semi").select("phrase", "content", "c", "words").mapInArrow(_single_windows, "phrase long, content binary, n long, at int, window binary"))
         twice = single.groupBy("window").agg(F.sum("n").alias("c")).where("c > 1").select("window")
-        bits = single.where("n = 1").join(twice, "window").groupBy("phrase", "content").agg(F.sum(F.expr("shiftleft(1, at)")).cast("int").alias("mask"))
-        masks = masks.unionByName(bits)
-    whole = F.expr("shiftleft(1, n) - 1")
-    known = counts.join(masks, ["phrase", "content"], "left")
-    places = cut.select("row", "first", "n", "phrase", "content").join(known, ["phrase", "content"])
-    places = places.select("row", "first", F.when(F.col("c") > 1, whole).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")).where("mask <> 0")
+        masks = masks.unionByName(single.join(twice, "window").groupBy("phrase", "content").agg(F.sum(F.expr("shiftleft(1, at)")).cast("int").alias("mask")))
+    places = cut.select("row", "first", "phrase", "content").join(masks, ["phrase", "content"]).select("row", "first", "mask")
     gone = places.groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("gone"))
 
     shape = f"key {kind}, n_words long, n_removed long, kept_sha256 string, kept string"
