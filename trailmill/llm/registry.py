@@ -24,8 +24,3 @@ for _name, _module in _MODULES.items():
     QUERIES[_name] = _found.query
     if _found.ORACLE_SQL:
         ORACLES[_name] = _found.ORACLE_SQL
-
-# The short notices are not in the SQL of op7_license_scans; this query has both kinds and its own SQL.
-_licences = import_module("trailmill.llm.license_scan")
-QUERIES["op7_license_scans_all"] = _licences.query_all
-ORACLES["op7_license_scans_all"] = _licences.ORACLE_SQL_ALL
