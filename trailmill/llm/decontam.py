@@ -7,10 +7,13 @@ different. A window that matches with other values is a re-parameterised questio
 
 The corpus is read once against the hashes of narrow item windows: a document window of ``NARROW`` tokens at every
 ``STEP``-th place is enough, since any shared run of ``WIDTH = NARROW + STEP - 1`` tokens holds one. Only documents
-that hit are read again and compared window by window on the full template.
+that hit are read again and compared window by window on the full template. An item of fewer than ``WIDTH`` tokens is
+found where it stands whole: its first ``LITERALS`` tokens find documents, a window of its own length decides.
 
-Defined results: null and empty texts, and items with fewer than ``WIDTH`` tokens, leak nothing; windows with
-fewer than ``LITERALS`` plain words are no evidence; repeated rows of a document count once per id.
+Defined results: null and empty texts leak nothing; windows with fewer than ``LITERALS`` plain words are no evidence,
+so items that have fewer are never found; repeated rows of a document or an item count once per id; slots with equal
+values are alike whatever the value; a very long text is read whole; an empty table on either side gives no rows and
+``clean`` keeps all; ``clean`` leaves columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,9 +57,9 @@ def _templates(text: Column) -> Column:
     return F.regexp_extract_all(_let(_slotted(F.coalesce(text, F.lit(""))), bare), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
-def _hashes(toks: Column, step: int) -> Column:
+def _hashes(toks: Column, step: int, width: int = NARROW) -> Column:
     one = lambda w: F.when(
-        F.size(w) >= NARROW, F.transform(F.sequence(F.lit(0), F.size(w) - NARROW, F.lit(step)), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(NARROW)]))
+        F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width, F.lit(step)), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
     ).otherwise(F.array().cast("array<bigint>"))
     return _let(toks, one)
 
@@ -64,24 +67,24 @@ def _hashes(toks: Column, step: int) -> Column:
 _SLOT = "^(name|num|unit)__"
 
 
-def windows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, at, template, slots, literal): every window of ``WIDTH`` tokens. template: hash of its typed tokens;
+def windows(df: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
+    """(key, at, template, slots, literal): every window of ``width`` tokens. template: hash of its typed tokens;
     slots: first place of each slot's value; literal: the values. Types are found once per text, not per window."""
 
     def cut(w):
         typed = F.transform(w, lambda x: F.when(x.rlike(_SLOT), F.regexp_extract(x, _SLOT, 0)).otherwise(x))
-        places = F.sequence(F.lit(0), F.size(w) - WIDTH)
-        return _let(typed, lambda t: F.transform(places, lambda i: F.struct((i + 1).alias("at"), F.xxhash64(*[F.get(t, i + k) for k in range(WIDTH)]).alias("template"), held(w, i).alias("v"))))
+        places = F.sequence(F.lit(0), F.size(w) - width)
+        return _let(typed, lambda t: F.transform(places, lambda i: F.struct((i + 1).alias("at"), F.xxhash64(*[F.get(t, i + k) for k in range(width)]).alias("template"), held(w, i).alias("v"))))
 
     def held(w, i):
-        return F.filter(F.slice(w, i + 1, WIDTH), lambda x: x.rlike(_SLOT))
+        return F.filter(F.slice(w, i + 1, width), lambda x: x.rlike(_SLOT))
 
     def plain(w):
-        return F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.struct((i + 1).alias("at"), F.xxhash64(*[F.get(w, i + k) for k in range(WIDTH)]).alias("template"), F.array().cast("array<string>").alias("v")))
+        return F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.struct((i + 1).alias("at"), F.xxhash64(*[F.get(w, i + k) for k in range(width)]).alias("template"), F.array().cast("array<string>").alias("v")))
 
     slots = lambda w: F.exists(w, lambda x: F.contains(x, F.lit("__")))
-    every = _let(tokens(F.col(text)), lambda w: F.when(F.size(w) >= WIDTH, F.when(slots(w), cut(w)).otherwise(plain(w))))
-    out = df.select(key, F.explode(every).alias("s")).select(key, "s.*").where(F.lit(WIDTH) - F.size("v") >= LITERALS)
+    every = _let(tokens(F.col(text)), lambda w: F.when(F.size(w) >= width, F.when(slots(w), cut(w)).otherwise(plain(w))))
+    out = df.select(key, F.explode(every).alias("s")).select(key, "s.*").where(F.lit(width) - F.size("v") >= LITERALS)
     return out.select(key, "at", "template", F.array_join(F.transform("v", lambda y: F.array_position(F.col("v"), y)), ",").alias("slots"), F.array_join("v", " ").alias("literal"))
 
 
@@ -91,20 +94,31 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, store: Store) -> DataFrame:
     """(doc_id, item_id, n_windows, reparameterised): shared windows of the item; whether none of them has the item's own values."""
-    wanted = store.put(benchmark.select(F.explode(_hashes(_templates(F.col("text")), 1)).alias("h")).distinct())
+    items = store.put(benchmark.select("item_id", "text", F.size(tokens(F.col("text"))).alias("n")))
+    long, short = items.where(F.col("n") >= WIDTH), items.where((F.col("n") < WIDTH) & (F.col("n") >= LITERALS))
+    widths = sorted(r.n for r in short.select("n").distinct().collect())  # WIDTH - LITERALS values at most
+    wanted = store.put(long.select(F.explode(_hashes(_templates(F.col("text")), 1)).alias("h")).distinct())
     seen = docs.select("doc_id", F.explode(_hashes(_templates(F.col("text")), STEP)).alias("h"))
-    hit = store.put(seen.join(_sized(wanted), "h", "left_semi").select(F.col("doc_id").alias("_id")).distinct())
+    hit = seen.join(_sized(wanted), "h", "left_semi").select(F.col("doc_id").alias("_id"))
+    if widths:
+        begin = store.put(short.select(F.get(_hashes(_templates(F.col("text")), 1, LITERALS), F.lit(0)).alias("h")).distinct())
+        every = docs.select("doc_id", F.explode(_hashes(_templates(F.col("text")), 1, LITERALS)).alias("h"))
+        hit = hit.unionByName(every.join(_sized(begin), "h", "left_semi").select(F.col("doc_id").alias("_id")))
+    hit = store.put(hit.distinct())
     again = docs.select("doc_id", "text").join(_sized(hit), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    mine = windows(again, "doc_id", "text").select("doc_id", "template", "slots", "literal")
-    theirs = store.put(windows(benchmark.select("item_id", "text"), "item_id", "text"))
-    both = mine.join(_sized(theirs.withColumnRenamed("literal", "own")), ["template", "slots"])
+    both = None
+    for width in (WIDTH, *widths):
+        mine = windows(again, "doc_id", "text", width).select("doc_id", "template", "slots", "literal")
+        theirs = store.put(windows(long if width == WIDTH else short.where(F.col("n") == width), "item_id", "text", width))
+        met = mine.join(_sized(theirs.withColumnRenamed("literal", "own")), ["template", "slots"]).select("doc_id", "item_id", "at", "literal", "own")
+        both = met if both is None else both.unionByName(met)
     return both.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_windows"), (~F.bool_or(F.col("literal") == F.col("own"))).alias("reparameterised"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, store: Store) -> DataFrame:
     """The rows of ``docs`` whose document leaks no item, with all their columns."""
     bad = store.put(leaks(docs, benchmark, store).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(_sized(bad), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(_sized(bad), docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,17 +129,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     name = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)"
     named = lambda x: rf"regexp_replace({x}, '{name}', '\1name__\2', 'g')"
+    # k: the width of a window, WIDTH or the length of a short item.
     slots = lambda t: (
-        f"SELECT id, i AS at, array_to_string(list_transform(x, lambda y: CASE WHEN regexp_matches(y, '^(name|num|unit)__') THEN regexp_extract(y, '^(name|num|unit)__') ELSE y END), ' ') AS template, "
+        f"SELECT id, k, i AS at, array_to_string(list_transform(x, lambda y: CASE WHEN regexp_matches(y, '^(name|num|unit)__') THEN regexp_extract(y, '^(name|num|unit)__') ELSE y END), ' ') AS template, "
         f"array_to_string(list_transform(v, lambda y: list_position(v, y)), ',') AS slots, array_to_string(v, ' ') AS literal "
-        f"FROM (SELECT id, i, x, list_filter(x, lambda y: regexp_matches(y, '^(name|num|unit)__')) AS v FROM (SELECT id, i, w[i:i + {WIDTH - 1}] AS x FROM (SELECT id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM {t}))) WHERE {WIDTH} - len(v) >= {LITERALS}"
+        f"FROM (SELECT id, k, i, x, list_filter(x, lambda y: regexp_matches(y, '^(name|num|unit)__')) AS v FROM (SELECT id, k, i, w[i:i + k - 1] AS x FROM (SELECT id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM {t}))) WHERE k - len(v) >= {LITERALS}"
     )
     toks = lambda x: rf"regexp_extract_all(regexp_replace(regexp_replace(lower({named(named(x))}), '\b({_NUMBER}) ?({UNITS})\b', 'num__\1 unit__\2', 'g'), '\b({_NUMBER})\b', 'num__\1 ', 'g'), '{_TOKEN}')"
     return f"""
-WITH d AS (SELECT doc_id AS id, {toks("coalesce(text, '')")} AS w FROM documents), b AS (SELECT item_id AS id, {toks("coalesce(text, '')")} AS w FROM benchmark),
+WITH b0 AS (SELECT item_id AS id, {toks("coalesce(text, '')")} AS w FROM benchmark), b AS (SELECT id, w, least(len(w), {WIDTH}) AS k FROM b0 WHERE len(w) >= {LITERALS}),
+d0 AS (SELECT doc_id AS id, {toks("coalesce(text, '')")} AS w FROM documents), d AS (SELECT id, w, k FROM d0 CROSS JOIN (SELECT DISTINCT k FROM b) WHERE len(w) >= k),
 dw AS ({slots("d")}), bw AS ({slots("b")})
 SELECT dw.id AS doc_id, bw.id AS item_id, count(DISTINCT bw.at) AS n_windows, NOT bool_or(dw.literal = bw.literal) AS reparameterised
-FROM dw JOIN bw USING (template, slots) GROUP BY 1, 2
+FROM dw JOIN bw USING (k, template, slots) GROUP BY 1, 2
 """
 
 
