@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from trailmill.llm import near_copies as N
+from trailmill.llm import simhash as N
 from trailmill.plans.shared_store import Store
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -54,15 +54,52 @@ def test_stage_removes_near_copies_from_0_8(spark):
 
 
 def test_components_match_brute_force(spark, docs, texts):
-    out = {r.doc_id: r.component for r in N.clustered(docs, Store(spark, "t"), "doc_id").collect()}
+    out = {r.doc_id: r.component for r in N.similar(docs, Store(spark, "t"), "doc_id").collect()}
     want = classes(texts)
     assert all((out[i] == out[j]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
 
 
-def test_large_group_stays_linear(spark):
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Chains and clusters whose members share buckets without all being similar to any hub."""
+    monkeypatch.setattr(N, "FEW", 3)
+    rng = random.Random(8)
+    texts = []
+    for k in range(3):
+        words = [f"c{k}x{i}" for i in range(150)]
+        for step in range(25):
+            if step % 5 == 4:
+                words = list(words)
+                words[rng.randrange(5, 145)] = f"s{k}x{step}"
+            copy = list(words)
+            for at in rng.sample(range(5, 145), rng.randrange(3)):
+                copy[at] = f"n{rng.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.component for r in N.similar(frame, Store(spark, "t"), "doc_id").collect()}
+    want = classes(texts)
+    assert len(set(want)) > 3
+    assert all((out[i] == out[j]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_large_group_stays_linear(spark, monkeypatch):
+    """A group of k near copies is joined over about k pairs, not k squared."""
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join([*words, f"tail{rng.randrange(10**9)}"])) for i in range(300)]
+    pairs = []
     store = Store(spark, "t")
-    sketched = store.put(N.sketches(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id"))
-    assert N.candidates(sketched, store).count() < 30 * 300
+    put = store.put
+    monkeypatch.setattr(store, "put", lambda df: _noted(put(df), pairs))
+    out = N.similar(spark.createDataFrame(rows, "doc_id long, text string"), store, "doc_id")
+    assert out.select("component").distinct().count() == 1
+    assert max(pairs) < 30 * 300
+
+
+def _noted(frame, pairs):
+    if frame.columns == ["a", "b"]:
+        pairs.append(frame.count())
+    return frame
+
+
+def test_empty_table(spark, empty):
+    assert N.similar(empty, Store(spark, "t"), "doc_id").count() == 0
