@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.llm import decontam, near_copies, packing, quality, secret_scan
+from trailmill.llm import decontam, packing, quality, secret_scan, simhash
 from trailmill.plans.shared_store import Store, small
 from trailmill.sources.tables import table
 
@@ -31,13 +31,13 @@ def _unwrapped(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _wrapped(docs).withColumns({"lang": F.col("_doc.lang"), "source": F.col("_doc.source")})
-    return _unwrapped(quality.judged(rows, store=Store(spark, "stage-quality")).where("kept"), docs.columns)
+    return _unwrapped(quality.judged(rows, "verdict", store=Store(spark, "stage-quality")).where("verdict.kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     store = Store(spark, "stage-near-copies")
     rows = store.put(_wrapped(docs).withColumn("row", F.monotonically_increasing_id()))
-    groups = near_copies.clustered(rows, store, key="row")
+    groups = simhash.similar(rows, store, key="row")
     ids = rows.select("row", F.coalesce(F.col("_doc.doc_id"), F.lit((1 << 63) - 1)).alias("id"))
     members = store.put(groups.join(ids, "row").select("component", F.struct("id", "row").alias("m")))
     first = members.groupBy("component").agg(F.min("m").alias("m"), F.count("*").alias("n")).where("n > 1")
@@ -53,9 +53,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secret_scan.scanned(_wrapped(docs), Store(spark, "stage-secrets"))
-    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("_spans")))
+    spans = F.col("secrets.spans")
+    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), spans))
     if "n_chars" in docs.columns:
-        n = F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
+        n = F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
         clean = clean.withColumn("_doc", F.col("_doc").withField("n_chars", n))
     return _unwrapped(clean, docs.columns)
 

@@ -2,10 +2,13 @@
 
 A lineage is cut by writing Parquet below the folder that the session names in ``spark.checkpoint.dir``
 and reading it back with a known schema. Losing an executor then costs nothing that was already written.
+All tables of an application lie in one folder, which goes when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -16,16 +19,35 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is named (tests, notebooks)."""
+    """The session's shared folder. Only a local session, whose tasks all run on this machine, may do without one."""
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{_KEY} must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="trailmill-")
     return _FALLBACK[app]
 
 
+_OWN: set[str] = set()
+
+
+def _application_folder(spark: SparkSession) -> str:
+    folder = f"{shared_root(spark)}/trailmill/{spark.sparkContext.applicationId}"
+    if folder not in _OWN:
+        _OWN.add(folder)
+        atexit.register(_emptied, spark, folder)
+    return folder
+
+
+def _emptied(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        _delete(spark, folder)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -37,7 +59,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_root(spark)}/trailmill/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._paths: dict[int, str] = {}
         self._n = 0
 
