@@ -16,9 +16,9 @@ the same shingle hashes (a pair at 0.8 shares none of 20 bands of four with prob
 tries of a bucket are walked with a budget of 24 bits, and the whole sets of what is left decide. A bucket of more than
 ``FEW`` different sets does not form its pairs: every set is compared with the bucket's hub, the one closest to the
 majority of the bucket's fingerprints. A set that is not similar to its hub is then compared with those sets of the same
-hub that are not joined to it yet and that it can be similar to: with u shingles that no other set of this hub has, a
-set of n shares n - u at most. So no pair of a bucket that could join two components is left out, and a group of k near
-copies costs about k pairs.
+hub that are not joined to it yet and that it can be similar to: two sets share none of the hub's shingles that either
+lacks, and none that only one set of this hub has, which bounds their similarity before they are compared. So no pair of a
+bucket that could join two components is left out, and a group of k near copies costs about k pairs.
 
 Defined results: null and empty texts have fingerprint zero (the empty set) and link like any other; repeated rows share
 a component; a null id takes part in links and never becomes a component's name unless all its ids are null; a text of
@@ -367,6 +367,12 @@ def _walked(cells: DataFrame) -> DataFrame:
     return cells.select("sig", "fp", "bucket", "n").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a long, b long")
 
 
+def _mask_of(hashes, k: int):
+    """64 bits, one set for each hash of the k-th quarter: the bits set are at most as many as the hashes."""
+    mine = F.filter(hashes, lambda e: F.shiftright(e, 6).bitwiseAND(F.lit(3)) == k)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, e: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def similar(docs: DataFrame, store: Store, key: str, text: str = "text") -> DataFrame:
     """(key, component) of every row of ``docs``, alike for rows joined by links of ``SIMILARITY`` or more. key: a unique long."""
     sketched = store.put(_sketched(docs, key, text))
@@ -392,14 +398,18 @@ def similar(docs: DataFrame, store: Store, key: str, text: str = "text") -> Data
     centre = large.groupBy("bucket").agg(reduce(lambda x, y: x.bitwiseOR(y), [bit(k) for k in range(_BITS)]).alias("centre"))
     near = large.join(centre, "bucket").groupBy("bucket").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), "sig"))["sig"].alias("hub"))
     star = large.join(near, "bucket").where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b"), "fp").distinct()
-    against = store.put(with_sets(star).select(F.col("a").alias("hub"), F.col("b").alias("sig"), "fp", F.size("y").alias("n"), "linked", F.array_except("y", "x").alias("more")))
+    lacks = F.array_except("x", "y")
+    against = with_sets(star).select(F.col("a").alias("hub"), F.col("b").alias("sig"), "fp", F.size("x").alias("of"), F.size("y").alias("n"), "linked", F.array_except("y", "x").alias("more"), F.array(*[_mask_of(lacks, k) for k in range(4)]).alias("lacks"))
+    against = store.put(against)
     links = store.put(links.unionByName(against.where("linked").select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b"))))
     roots = store.put(components(links, store))
     alone = against.select("hub", "sig", F.explode("more").alias("e")).groupBy("hub", "e").agg(F.count("*").alias("k"), F.min("sig").alias("sig")).where("k = 1").groupBy("hub", "sig").agg(F.count("*").alias("u"))
-    group = against.drop("more").join(alone, ["hub", "sig"], "left").join(roots, F.col("sig") == F.col("node"), "left")
-    group = store.put(group.select("hub", "sig", "fp", "n", "linked", F.coalesce("u", F.lit(0)).alias("u"), F.coalesce("root", "sig").alias("root")))
-    apart = group.where(~F.col("linked")).select("hub", F.col("sig").alias("other"), F.col("fp").alias("g"), F.col("n").alias("m"), F.col("u").alias("w"), F.col("root").alias("over"))
-    most = F.least(F.col("n") - F.col("u"), F.col("m") - F.col("w"))
+    group = against.join(alone, ["hub", "sig"], "left").join(roots, F.col("sig") == F.col("node"), "left")
+    # own: shingles that the hub lacks and another set of this hub has.
+    group = store.put(group.select("hub", "sig", "fp", "of", "n", "linked", "lacks", (F.size("more") - F.coalesce("u", F.lit(0))).alias("own"), F.coalesce("root", "sig").alias("root")))
+    apart = group.where(~F.col("linked")).select("hub", F.col("sig").alias("other"), F.col("fp").alias("g"), F.col("n").alias("m"), F.col("own").alias("more"), F.col("lacks").alias("without"), F.col("root").alias("over"))
+    lacking = reduce(lambda x, y: x + y, [F.bit_count(F.col("lacks")[k].bitwiseOR(F.col("without")[k])) for k in range(4)])
+    most = F.least("n", "m", F.col("of") - lacking + F.least("own", "more"))
     able = most >= SIMILARITY * (F.col("n") + F.col("m") - most) - 1e-9
     pairs = group.join(apart, "hub").where((F.col("root") != F.col("over")) & (F.col("linked") | (F.col("sig") < F.col("other"))) & able & close("fp", "g"))
     pairs = store.put(pairs.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct())
