@@ -40,8 +40,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.similar(rows, store, key="row")
     ids = rows.select("row", F.coalesce(F.col("_doc.doc_id"), F.lit((1 << 63) - 1)).alias("id"))
     members = store.put(groups.join(ids, "row").select("component", F.struct("id", "row").alias("m")))
-    first = members.groupBy("component").agg(F.min("m").alias("m"), F.count("*").alias("n")).where("n > 1")
-    gone = store.put(members.join(first.select("component", F.col("m").alias("first")), "component").where("m <> first").select(F.col("m.row").alias("row")))
+    first = store.put(members.groupBy("component").agg(F.min("m").alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first"))
+    first = F.broadcast(first) if small(first, BROADCAST_ROWS) else first
+    gone = store.put(members.join(first, "component").where("m <> first").select(F.col("m.row").alias("row")))
     gone = F.broadcast(gone) if small(gone, BROADCAST_ROWS) else gone
     return _unwrapped(rows.join(gone, "row", "left_anti"), docs.columns)
 
