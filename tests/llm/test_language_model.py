@@ -62,6 +62,27 @@ def test_state_runs_through_windows_and_lanes():
     assert np.allclose(M.class_scores(model, docs), alone, rtol=1e-4)
 
 
+def test_held_out_texts_score_above_the_base(spark):
+    """Sentences with word order: the model must beat the counts by a margin on texts it has not seen."""
+    import random
+
+    rng = random.Random(2)
+    pair = {"the": "cat dog sun moon".split(), "cat": ["sat", "ran"], "dog": ["ran", "ate"], "sun": ["rose"], "moon": ["set"], "sat": ["on"], "ran": ["off"], "ate": ["it"], "rose": ["up"], "set": ["down"]}
+    def text():
+        out = []
+        for _ in range(40):
+            w = "the"
+            while w:
+                out.append(w)
+                w = rng.choice(pair[w]) if w in pair else None
+        return " ".join(out)
+
+    frame = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string").repartition(2)
+    rows = [r for r in M.scored(frame, Store(spark, "t")).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
+    assert len(rows) > 20 and gain > 0.2
+
+
 def test_learns_order():
     docs = [np.array([0, 1, 2, 3] * 50, np.int32) for _ in range(8)]
     model = M.Gru()
