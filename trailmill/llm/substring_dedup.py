@@ -214,7 +214,8 @@ def deduplicated(docs: DataFrame, store: Store, key: str = "doc_id", shard_rows:
     kind = docs.schema[key].dataType.simpleString()
     d = store.put(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col("text")))
     phrases = store.put(d.select("row", "text").mapInArrow(_phrases, "row long, first int, n int, phrase long"))
-    again = phrases.groupBy("phrase").agg(F.count("*").alias("c")).where("c > 1").select("phrase")
+    again = store.put(phrases.groupBy("phrase").agg(F.count("*").alias("c")).where("c > 1").select("phrase"))
+    again = F.broadcast(again) if small(again, broadcast_rows) else again
     live = store.put(phrases.join(again, "phrase", "left_semi").groupBy("row").agg(F.collect_list(F.struct("first", "n", "phrase")).alias("found")))
     rows = live.select("row")
     rows = F.broadcast(rows) if small(rows, broadcast_rows) else rows
