@@ -52,7 +52,9 @@ def test_citations(spark):
 def test_fusion_keeps_one_row_per_item(spark):
     v = spark.createDataFrame([(1, "generic", 0.95, 1), (1, "both", 0.5, 2)], "query_id int, item_id string, score double, rank long")
     x = spark.createDataFrame([(1, "exact", 1.0, 1), (1, "both", 0.9, 2)], "query_id int, item_id string, score double, rank long")
-    out = R.fused(v, x, 5).collect()
+    queries = spark.createDataFrame([(1, "a question")], "query_id int, text string")
+    corpus = spark.createDataFrame([("generic", ""), ("both", ""), ("exact", "")], "item_id string, text string")
+    out = R.reranked(v, x, queries, corpus, 5).collect()
     assert sorted(r.item_id for r in out) == ["both", "exact", "generic"] and out[0].rank == 1
 
 

@@ -62,15 +62,35 @@ def worst(compared: DataFrame, n: int = 10) -> DataFrame:
     return compared.where("delta < 0").orderBy("delta", "case_id").limit(n)
 
 
-def release_gates(executions: DataFrame, baseline: str, candidate: str, oracle_cost: Column | float, min_score: float = 0.72, max_regression: float = 0.02, max_cost_ratio: float = 1.10) -> DataFrame:
-    """One row of gate verdicts for the candidate, and the names of those that fail."""
-    s = variant_summary(executions.where(F.col("variant").isin(baseline, candidate)), "variant")
-    of = lambda v, c: F.coalesce(F.max(F.when(F.col("variant") == v, F.col(c))), F.lit(0.0))
-    one = s.agg(of(candidate, "avg_score").alias("score"), of(baseline, "avg_score").alias("base"), of(candidate, "cost").alias("cost"), of(baseline, "cost").alias("base_cost"))
-    ratio = F.when(F.col("base_cost") > 0, F.col("cost") / F.when(F.col("base_cost") > 0, F.col("base_cost"))).when(F.col("cost") > 0, F.lit(float("inf"))).otherwise(1.0)
-    good = {"score": F.col("score") >= min_score, "regression": F.col("base") - F.col("score") <= max_regression, "cost": ratio <= max_cost_ratio}
-    failed = F.array_join(F.array_compact(F.array(*[F.when(~ok, k) for k, ok in good.items()])), ",")
-    return one.select(jround("score", 6).alias("score"), jround("base", 6).alias("baseline_score"), *[ok.alias(f"{k}_ok") for k, ok in good.items()], failed.alias("failed"))
+def release_gates(executions: DataFrame, min_score: float = 0.72, max_regression: float = 0.02, min_route: float = 0.8, max_cost_ratio: float = 1.10) -> DataFrame:
+    """One row of six gate verdicts for the candidate, and the names of those that fail.
+
+    executions: case_id, variant (baseline, single, multi, candidate), score, cost, measured (whether usage is known),
+    failed, mode, expected_mode (null: any is right). Cost is compared with the forced variant of the candidate's own
+    route, the oracle, and only if usage is known for all; a case is critical as in ``comparisons``.
+    """
+    of = lambda v, c: F.max(F.when(F.col("variant") == v, F.col(c)))
+    names = {"baseline": "b", "candidate": "c", "single": "s", "multi": "m"}
+    wide = executions.groupBy("case_id").agg(*[of(v, c).alias(f"{k}_{c}") for v, k in names.items() for c in ("score", "cost", "measured", "failed")], of("candidate", "mode").alias("mode"), of("candidate", "expected_mode").alias("expected"))
+    wide = wide.where("b_score IS NOT NULL AND c_score IS NOT NULL")
+    own = lambda c: F.when(F.col("mode") == "ADAPTIVE_MULTI_AGENT", F.col(f"m_{c}")).otherwise(F.col(f"s_{c}"))
+    critical = (jround(F.col("c_score") - F.col("b_score"), 6) < -CRITICAL_DROP) | (~F.col("b_failed") & F.col("c_failed"))
+    one = wide.agg(
+        F.count("*").alias("cases"), stable(F.avg("c_score"), 6).alias("score"), stable(F.avg("b_score"), 6).alias("baseline_score"), stable(F.avg(F.coalesce(F.col("expected") == F.col("mode"), F.lit(True)).cast("double")), 6).alias("route_accuracy"),
+        F.bool_and(F.coalesce(F.col("c_measured") & own("measured"), F.lit(False))).alias("comparable"), F.sum("c_cost").alias("_c"), F.sum(own("cost")).alias("_o"), F.count_if(critical).alias("critical_cases"), F.count_if("c_failed").alias("_cf"), F.count_if("b_failed").alias("_bf"),
+    )
+    ratio = F.when(~F.col("comparable"), 0.0).when(F.col("_o") > 0, stable(F.col("_c") / F.when(F.col("_o") > 0, F.col("_o")), 4)).when(F.col("_c") > 0, F.lit(float("inf"))).otherwise(1.0)
+    one = one.withColumn("cost_ratio", ratio)
+    good = {
+        "score": F.col("score") >= min_score,
+        "regression": F.col("score") + max_regression >= F.col("baseline_score"),
+        "route": F.col("route_accuracy") >= min_route,
+        "cost": ~F.col("comparable") | (F.col("cost_ratio") <= max_cost_ratio),
+        "critical": F.col("critical_cases") == 0,
+        "failures": F.col("_cf") <= F.col("_bf"),
+    }
+    failed = F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), k) for k, ok in good.items()])), ",")
+    return one.select("cases", "score", "baseline_score", "route_accuracy", "comparable", "cost_ratio", "critical_cases", failed.alias("failed"))
 
 
 def paired_stats(pairs: DataFrame, margin: float = 0.02) -> DataFrame:
@@ -91,16 +111,16 @@ def sign_test(wins: Column, losses: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def bootstrap(pairs: DataFrame, replicates: int, seed: str, max_pairs: int = 100_000) -> DataFrame:
+def bootstrap(pairs: DataFrame, replicates: int, seed: str, broadcast_pairs: int = 100_000) -> DataFrame:
     """Paired bootstrap of the mean delta: 95 % interval by linear quantiles, share above 0.
 
     Draw i of replicate b is the pair with number hash(seed, b, i) mod n: the same in every engine and on any
-    partitioning. Pairs are the cases of a test set, so their number is checked and they are broadcast.
+    partitioning. Pairs are the cases of a test set, numbered in the order of their ids; they are broadcast up to
+    ``broadcast_pairs`` and joined by number beyond.
     """
-    if not small(pairs, max_pairs):
-        raise ValueError("too many pairs for resampling; aggregate them first")
     spark = pairs.sparkSession
-    numbered = F.broadcast(pairs.selectExpr("cast(row_number() over (order by case_id) - 1 as int) as k", "delta"))
+    numbered = pairs.selectExpr("cast(row_number() over (order by case_id) - 1 as int) as k", "delta")
+    numbered = F.broadcast(numbered) if small(pairs, broadcast_pairs) else numbered
     n = pairs.count()
     if not n:
         return spark.createDataFrame([], "n long, replicates long, low double, high double, above double")

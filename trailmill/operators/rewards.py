@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.numeric import clamp, jround, stable
-from trailmill.functions.text import answer_units, citations, length_quality, multiset_overlap, repeated_line_ratio
+from trailmill.functions.text import answer_units, multiset_overlap
 
 
 def first_step(steps: Column, kind: str) -> Column:
@@ -45,48 +45,56 @@ def token_f1(answer: Column, solution: Column) -> Column:
     return F.when(same > 0, 2 * p * r / F.when(same > 0, p + r)).otherwise(0.0)
 
 
-def rlvr_reward(rows: DataFrame) -> DataFrame:
-    """Rule-based reward of an answer against its contract: hard gates to 0, weighted measures, a factor for padding.
+# Weights of the verifier and shares of the total.
+VERIFIER = {"retrieval": 0.20, "grounding": 0.25, "convergence": 0.15, "task": 0.25, "collaboration": 0.05, "efficiency": 0.10}
+VERIFIER_SHARE, JUDGE_SHARE = 0.45, 0.55
 
-    rows: answer, solution, sources (array of int), min_chars, max_chars, forbidden (array). Violations are listed.
-    """
-    text = F.coalesce("answer", F.lit(""))
-    cited = citations(text)
-    valid = F.when(F.size("sources") == 0, 1.0).when(F.size(cited) == 0, 0.0).otherwise(1 - F.size(F.array_except(cited, "sources")) / F.greatest(F.size(cited), F.lit(1)))
-    coverage = F.when(F.size("sources") == 0, 1.0).otherwise(F.size(F.array_intersect(cited, "sources")) / F.greatest(F.size("sources"), F.lit(1)))
-    measures = {
-        "f1": token_f1(text, F.coalesce("solution", F.lit(""))),
-        "citation": 0.7 * valid + 0.3 * coverage,
-        "length_score": length_quality(text, F.col("min_chars"), F.col("max_chars")),
-        "honesty": 1 - repeated_line_ratio(text),
-    }
-    bad = F.array_compact(F.array(F.when(F.trim(text) == "", "empty"), F.when(F.exists("forbidden", lambda p: F.contains(text, p)), "forbidden"), F.when((F.size("sources") > 0) & (F.size(F.array_except(cited, "sources")) > 0), "unknown_source")))
-    out = rows.withColumns(measures).withColumn("violations", bad)
-    base = 0.55 * F.col("f1") + 0.25 * F.col("citation") + 0.20 * F.col("length_score")
-    return out.withColumn("total", stable(F.when(F.array_contains("violations", "empty") | F.array_contains("violations", "forbidden"), 0.0).otherwise(base * (0.5 + 0.5 * F.col("honesty"))), 6))
 
+def hard_checks(runs: DataFrame, min_grounding: float = 0.7) -> DataFrame:
+    """Adds ``reasons``: why a run may not be used at all, empty if it may. Without a reward nothing further is checked."""
+    filled = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
+    ended = ~F.coalesce(F.col("status") == "COMPLETED", F.lit(False)) | filled("error")
+    rewarded = F.col("grounding").isNotNull()
+    rules = {"not_completed": ended, "blank_text": ~filled("question") | ~filled("answer"), "no_reward": ~rewarded, "grounding": rewarded & (F.col("grounding") < min_grounding), "task": rewarded & (F.col("task") <= 0)}
+    return runs.withColumn("reasons", F.array_compact(F.array(*[F.when(bad, k) for k, bad in rules.items()])))
 
-def judged(scores: DataFrame, min_dimensions: int = 4, min_agreement: float = 0.7, min_confidence: float = 0.72, high: float = 0.75, low: float = 0.35) -> DataFrame:
-    """One row per run from judge scores: weighted reward, agreement, confidence, label and decision.
 
-    scores: run_id, judge, dimension, score, confidence. The best-confidence score of a judge and dimension counts.
+def assessed(runs: DataFrame, scores: DataFrame, min_judges: int = 4, min_agreement: float = 0.7, min_confidence: float = 0.72, high: float = 0.75, low: float = 0.35, min_grounding: float = 0.7) -> DataFrame:
+    """One row per run: verifier, judge and total reward, agreement, confidence, and the first rung of the ladder that holds.
+
+    runs: run_id, status, error, question, answer, rating (null: none), evaluation_only, and the parts of ``VERIFIER``
+    (all null: no reward). scores: run_id, seq, judge, dimension, score, confidence; the first of a judge and dimension counts.
     """
-    one = scores.groupBy("run_id", "judge", "dimension").agg(F.max(F.struct("confidence", "score")).alias("s")).select("run_id", "dimension", F.col("s.score").alias("x"), F.col("s.confidence").alias("c"))
+    named = scores.where(F.col("dimension").isNotNull() & (F.trim(F.coalesce("judge", F.lit(""))) != ""))
+    one = named.groupBy("run_id", F.trim("judge").alias("judge"), "dimension").agg(F.min(F.struct("seq", "score", "confidence")).alias("s"))
+    one = one.select("run_id", "dimension", clamp(F.col("s.score")).alias("x"), clamp(F.col("s.confidence")).alias("c"))
     w = F.greatest(F.lit(0.05), F.col("c"))
-    mean = one.groupBy("run_id").agg((F.sum(F.col("x") * w) / F.sum(w)).alias("mu"), F.avg("c").alias("mc"), F.count("*").alias("n"), F.countDistinct("dimension").alias("dims"), F.collect_list("x").alias("xs"))
-    spread = F.aggregate("xs", F.lit(0.0), lambda s, x: s + F.abs(x - F.col("mu"))) / F.col("n")
-    out = mean.withColumn("agreement", F.when(F.col("n") < 2, 0.0).otherwise(clamp(1 - 2 * spread)))
-    out = out.withColumn("confidence", F.col("mc") * F.col("agreement") * F.least(F.lit(1.0), F.col("dims") / float(min_dimensions)))
-    label = F.when(F.col("mu") >= high, "POSITIVE").when(F.col("mu") <= low, "NEGATIVE").otherwise("NEUTRAL")
-    decision = (
-        F.when(F.col("dims") < min_dimensions, "INCOMPLETE").when(F.col("agreement") < min_agreement, "DISAGREEMENT").when(F.col("confidence") < min_confidence, "LOW_CONFIDENCE")
-        .when(label == "NEUTRAL", "HOLD").otherwise("TRAIN")
+    g = one.groupBy("run_id").agg((F.sum(F.col("x") * w) / F.sum(w)).alias("ai"), F.avg("c").alias("mc"), F.count("*").alias("n"), F.countDistinct("dimension").alias("dims"))
+    spread = one.join(g.select("run_id", "ai"), "run_id").groupBy("run_id").agg(F.avg(F.abs(F.col("x") - F.col("ai"))).alias("spread"))
+    d = hard_checks(runs, min_grounding).join(g, "run_id", "left").join(spread, "run_id", "left").na.fill(0, ["ai", "mc", "n", "dims", "spread"])
+    agreement = F.when(F.col("n") < 2, 0.0).otherwise(clamp(1 - 2 * F.col("spread")))
+    verifier = clamp(sum((F.coalesce(k, F.lit(0.0)) * x for k, x in VERIFIER.items()), F.lit(0.0)))
+    d = d.withColumns({"agreement": agreement, "verifier": verifier})
+    d = d.withColumns({"sure": clamp(F.col("mc") * F.col("agreement") * F.least(F.lit(1.0), F.col("dims") / float(min_judges))), "total": stable(VERIFIER_SHARE * F.col("verifier") + JUDGE_SHARE * F.col("ai"), 4)})
+    rated = F.col("rating").isNotNull()
+    hold = lambda: F.struct(F.lit("UNLABELED").alias("label"), F.lit("HOLDOUT").alias("decision"))
+    rung = lambda label, decision: F.struct(F.lit(label).alias("label"), (F.lit(decision) if isinstance(decision, str) else decision).alias("decision"))
+    human = F.when(F.col("rating") >= 4, "POSITIVE").when(F.col("rating") <= 2, "NEGATIVE").otherwise("HOLDOUT")
+    ladder = (
+        F.when(F.col("evaluation_only"), rung("EVALUATION_ONLY", "EXCLUDED")).when(F.size("reasons") > 0, rung("REJECTED", "EXCLUDED")).when(rated, rung("HUMAN_LABELED", human))
+        .when(F.col("n") < min_judges, hold()).when(stable("agreement", 10) < min_agreement, hold()).when(stable("sure", 10) < min_confidence, hold())
+        .when(F.col("total") >= high, rung("PSEUDO_LABELED", "POSITIVE")).when(F.col("total") <= low, rung("PSEUDO_LABELED", "NEGATIVE")).otherwise(hold())
     )
-    return out.select("run_id", "n", "dims", stable("mu", 6).alias("reward"), stable("agreement", 6).alias("agreement"), stable("confidence", 6).alias("confidence"), label.alias("label"), decision.alias("decision"))
+    human_rung = ~F.col("evaluation_only") & (F.size("reasons") == 0) & rated
+    return d.withColumn("r", ladder).select(
+        "run_id", "r.label", "r.decision", stable("verifier", 4).alias("verifier"), stable("ai", 4).alias("ai"), "total", F.when(human_rung, 1.0).otherwise(stable("sure", 4)).alias("confidence"), stable("agreement", 4).alias("agreement"), "n", F.array_join("reasons", ",").alias("reasons")
+    )
 
 
-def alignment_metrics(judged_runs: DataFrame) -> DataFrame:
-    return judged_runs.groupBy("label", "decision").agg(F.count("*").alias("n"), jround(F.avg("reward"), 6).alias("avg_reward"), jround(F.avg((F.col("agreement") < 0.7).cast("double")), 6).alias("disagreement"))
+def alignment_metrics(assessments: DataFrame, min_agreement: float = 0.7) -> DataFrame:
+    """Per label and decision: runs, mean total, share of runs with two scores or more that disagree."""
+    apart = F.avg(F.when(F.col("n") >= 2, (F.col("agreement") < min_agreement).cast("double")))
+    return assessments.groupBy("label", "decision").agg(F.count("*").alias("n"), stable(F.avg("total"), 6).alias("avg_total"), jround(F.coalesce(apart, F.lit(0.0)), 6).alias("disagreement"))
 
 
 def ridge(rows: DataFrame, strength: float = 0.1) -> DataFrame:
@@ -105,22 +113,33 @@ def ridge(rows: DataFrame, strength: float = 0.1) -> DataFrame:
 
 
 def chosen_revision(rows: DataFrame) -> DataFrame:
-    """Draft or revision: an integer score times 100000 plus a tie-break; only a strictly better revision wins."""
+    """Draft or revision by given scores: an integer score times 100000 plus a tie-break; only a strictly better revision wins."""
     value = lambda s: F.floor(F.col(f"{s}_score") * 100) * 100000 + F.floor(F.col(f"{s}_coverage") * 1000)
     return rows.withColumn("winner", F.when(value("revised") > value("draft"), "revised").otherwise("draft"))
 
 
-def cost_bound(rows: DataFrame, calls: int = 4) -> DataFrame:
-    """Upper bound of judge tokens: ceil(1.25 characters) for each of ``calls`` calls."""
-    return rows.agg(F.count("*").alias("n"), (F.sum(F.ceil(F.col("chars") * 1.25)) * calls).alias("token_bound"))
+def cost_bound(rows: DataFrame, input_price: float, output_price: float, dimensions: int = 4) -> DataFrame:
+    """Upper bounds of judge calls, tokens and cost. rows: question_chars, answer_chars; prices per million tokens.
+
+    A prompt has 600 characters of its own and 1.25 tokens a character; an answer has 200 tokens at most.
+    """
+    prompt = F.col("question_chars") + F.col("answer_chars") + 600
+    out = rows.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.ceil(prompt * 1.25)), F.lit(0)) * dimensions).alias("input_tokens"))
+    out = out.withColumns({"calls": F.col("n") * dimensions, "output_tokens": F.col("n") * 200 * dimensions})
+    return out.select("n", "calls", "input_tokens", "output_tokens", jround((F.col("input_tokens") * input_price + F.col("output_tokens") * output_price) / 1e6, 8).alias("cost"))
 
 
 def process_reward(rows: DataFrame) -> DataFrame:
-    """Specialist process: .2 or .3 for structure, .1 or .3 for sources, .2 of confidence, sources cut to known distinct numbers, at most 12."""
+    """Specialist process: .2 for findings, .3 for recommendations, .3 with known sources and .1 without, .2 of the confidence; 0 on failure.
+
+    rows: success, findings and recommendations (texts), sources (numbers), max_source, confidence. Sources are cut to
+    known distinct numbers, at most 12.
+    """
     known = F.slice(F.array_distinct(F.filter("sources", lambda s: (s >= 1) & (s <= F.col("max_source")))), 1, 12)
     out = rows.withColumn("known", known)
-    structure = F.when(F.length(F.trim("findings")) > 0, 0.3).otherwise(0.2)
-    return out.withColumn("process", jround(clamp(structure + F.when(F.size("known") > 0, 0.3).otherwise(0.1) + 0.2 * clamp(F.col("confidence"))), 6))
+    said = lambda c, x: F.when(F.length(F.trim(F.coalesce(c, F.lit("")))) > 0, x).otherwise(0.0)
+    whole = said("findings", 0.2) + said("recommendations", 0.3) + F.when(F.size("known") > 0, 0.3).otherwise(0.1) + 0.2 * clamp(F.col("confidence"))
+    return out.withColumn("process", F.when(F.col("success"), jround(F.least(F.lit(1.0), whole), 6)).otherwise(0.0))
 
 
 def routed(questions: DataFrame, domains: dict[str, list[str]], minimum: int = 2, most: int = 3, structured: str = "|") -> DataFrame:

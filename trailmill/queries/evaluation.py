@@ -57,12 +57,19 @@ def worst_regressions(spark, sf_dir):
 
 @query(
     "release_gates",
-    f"""WITH {_EXEC}, s AS (SELECT variant, {_SUM} FROM tagged GROUP BY 1), o AS (SELECT a.avg_score AS score, b.avg_score AS base, a.cost AS cost, b.cost AS bc FROM s a, s b WHERE a.variant = 'candidate' AND b.variant = 'baseline'),
-g AS (SELECT *, score >= 0.72::DOUBLE AS score_ok, base - score <= 0.02::DOUBLE AS regression_ok, cost / bc <= 1.1::DOUBLE AS cost_ok FROM o)
-SELECT {R("score", 6)} AS score, {R("base", 6)} AS baseline_score, score_ok, regression_ok, cost_ok, array_to_string(list_filter([CASE WHEN NOT score_ok THEN 'score' END, CASE WHEN NOT regression_ok THEN 'regression' END, CASE WHEN NOT cost_ok THEN 'cost' END], lambda x: x IS NOT NULL), ',') AS failed FROM g""",
+    f"""WITH g AS (SELECT l_partkey AS case_id, l_linenumber % 4 AS v, {R("0.6::DOUBLE + avg(l_discount) * 4", 6)} AS score, {R("sum(l_tax)", 6)} AS cost, min(l_quantity) > 40 AS failed FROM lineitem GROUP BY 1, 2),
+w AS (SELECT case_id, case_id % 2 = 0 AS multi, max(score) FILTER (v = 0) AS b, max(score) FILTER (v = 1) AS c, bool_or(failed) FILTER (v = 0) AS bf, bool_or(failed) FILTER (v = 1) AS cf, max(cost) FILTER (v = 1) AS cc, CASE WHEN case_id % 2 = 0 THEN max(cost) FILTER (v = 3) ELSE max(cost) FILTER (v = 2) END AS oc FROM g GROUP BY 1),
+o AS (SELECT count(*) AS cases, {S("avg(c)", 6)} AS score, {S("avg(b)", 6)} AS baseline_score, {S("avg(CASE WHEN case_id % 10 = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END)", 6)} AS route_accuracy, bool_and(oc IS NOT NULL) AS comparable, sum(cc) AS cc, sum(oc) AS oc, count(*) FILTER ({R("c - b", 6)} < -0.15::DOUBLE OR (NOT bf AND cf)) AS critical_cases, count(*) FILTER (cf) AS ncf, count(*) FILTER (bf) AS nbf FROM w WHERE b IS NOT NULL AND c IS NOT NULL),
+r AS (SELECT *, CASE WHEN NOT comparable THEN 0.0::DOUBLE WHEN oc > 0 THEN {S("cc / oc", 4)} WHEN cc > 0 THEN 'inf'::DOUBLE ELSE 1.0::DOUBLE END AS cost_ratio FROM o)
+SELECT cases, score, baseline_score, route_accuracy, comparable, cost_ratio, critical_cases, array_to_string(list_filter([CASE WHEN score < 0.72::DOUBLE THEN 'score' END, CASE WHEN score + 0.02::DOUBLE < baseline_score THEN 'regression' END, CASE WHEN route_accuracy < 0.8::DOUBLE THEN 'route' END, CASE WHEN comparable AND cost_ratio > 1.1::DOUBLE THEN 'cost' END, CASE WHEN critical_cases > 0 THEN 'critical' END, CASE WHEN ncf > nbf THEN 'failures' END], lambda x: x IS NOT NULL), ',') AS failed FROM r""",
 )
 def release_gates(spark, sf_dir):
-    return E.release_gates(executions(spark, sf_dir), "baseline", "candidate", 0.0)
+    from trailmill.functions.numeric import jround
+
+    variant = F.element_at(F.array(*[F.lit(v) for v in ("baseline", "candidate", "single", "multi")]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    ex = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("case_id"), variant.alias("variant")).agg(jround(0.6 + F.avg("l_discount") * 4, 6).alias("score"), jround(F.sum("l_tax"), 6).alias("cost"), (F.min("l_quantity") > 40).alias("failed"))
+    mode = F.when(F.col("case_id") % 2 == 0, "ADAPTIVE_MULTI_AGENT").otherwise("SINGLE_AGENT")
+    return E.release_gates(ex.withColumns({"measured": F.lit(True), "mode": mode, "expected_mode": F.when(F.col("case_id") % 10 == 3, "ADAPTIVE_MULTI_AGENT").when(F.col("case_id") % 7 != 0, mode)}))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmill.catalog import query
 from trailmill.operators import rewards as W
+from trailmill.operators.rule_reward import rewarded
 from trailmill.plans.views import jround_sql as R
 from trailmill.plans.views import stable_sql as S
 from trailmill.sources.tables import table
@@ -52,42 +53,71 @@ def text_f1(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", jround(W.token_f1(F.col("answer"), F.col("solution")), 6).alias("f1"))
 
 
+_WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]{{2,}}')"
+_STOP = "['that', 'this', 'with', 'from', 'have']"
+
+
 @query(
     "rlvr_reward",
-    f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(answer), '[a-z0-9]+')) AS w, 1 AS a, 0 AS b FROM p UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(lower(solution), '[a-z0-9]+')), 0, 1 FROM p),
-c AS (SELECT conv_id, turn, w, sum(a) AS a, sum(b) AS b FROM x GROUP BY 1, 2, 3), s AS (SELECT conv_id, turn, sum(least(a, b)) AS k, sum(a) AS na, sum(b) AS nb FROM c GROUP BY 1, 2),
-l AS (SELECT p.*, list_filter(list_transform(string_split(answer, chr(10)), lambda y: trim(y)), lambda y: length(y) >= 8) AS ls, k, na, nb FROM p LEFT JOIN s ON s.conv_id = p.conv_id AND s.turn = p.turn),
-m AS (SELECT *, CASE WHEN k > 0 THEN 2 * (k / na::DOUBLE) * (k / nb::DOUBLE) / (k / na::DOUBLE + k / nb::DOUBLE) ELSE 0 END AS f1, CASE WHEN length(answer) < 200 THEN length(answer) / 200.0::DOUBLE WHEN length(answer) > 900 THEN 900 / length(answer)::DOUBLE ELSE 1 END AS le,
-  CASE WHEN len(ls) < 2 THEN 0.0::DOUBLE ELSE (len(ls) - len(list_distinct(ls))) / len(ls)::DOUBLE END AS rep FROM l)
-SELECT conv_id, turn, CASE WHEN trim(answer) = '' OR contains(answer, 'Qqq') THEN 0.0::DOUBLE ELSE {S("(0.55::DOUBLE * f1 + 0.25::DOUBLE + 0.20::DOUBLE * le) * (0.5::DOUBLE + 0.5::DOUBLE * (1 - rep))", 6)} END AS total FROM m""",
+    f"""WITH {_TURNS}, t AS (SELECT *, trim(answer) AS a, trim(solution) AS s FROM p),
+x AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(a), '[a-z0-9]+')) AS w, 1 AS a, 0 AS b FROM t UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')), 0, 1 FROM t),
+c AS (SELECT conv_id, turn, w, sum(a) AS a, sum(b) AS b FROM x GROUP BY 1, 2, 3), f AS (SELECT conv_id, turn, sum(least(a, b)) AS k, sum(a) AS na, sum(b) AS nb FROM c GROUP BY 1, 2),
+l AS (SELECT t.*, k, na, nb, list_filter(list_transform(string_split(a, chr(10)), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: length(y) >= 8) AS ls,
+  list_filter({_WORDS.format("a")}, lambda y: NOT list_contains({_STOP}, y)) AS ua, {_WORDS.format("s")} AS us FROM t LEFT JOIN f ON f.conv_id = t.conv_id AND f.turn = t.turn),
+m AS (SELECT *, CASE WHEN k > 0 THEN 2 * (k / na::DOUBLE) * (k / nb::DOUBLE) / (k / na::DOUBLE + k / nb::DOUBLE) ELSE 0 END AS f1, CASE WHEN len(ua) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(ua, lambda y: list_contains(us, y))) / len(ua)::DOUBLE END AS g,
+  CASE WHEN turn % 4 > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ci, (1.0::DOUBLE + CASE WHEN contains(a, 'the') OR contains(a, 'der') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(a, 'Qqq') THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) / 3.0::DOUBLE AS tc,
+  CASE WHEN s = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS sb, CASE turn % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS rq, CASE conv_id % 4 WHEN 3 THEN 0.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS co,
+  1 - 0.15::DOUBLE * greatest(0, conv_id % 6 - 3) - 0.10::DOUBLE * greatest(0, turn % 6 - 3) AS ef, CASE WHEN len(ls) < 2 THEN 0.0::DOUBLE ELSE (len(ls) - len(list_distinct(ls))) / len(ls)::DOUBLE END AS rep FROM l),
+h AS (SELECT *, 1 - CASE WHEN rep > 0.35::DOUBLE THEN 0.35::DOUBLE ELSE 0 END - CASE WHEN length(a) >= 100 AND s <> '' AND f1 > 0.94::DOUBLE THEN 0.25::DOUBLE ELSE 0 END AS ah, length(a) BETWEEN 80 AND 6000 AS gate FROM m)
+SELECT conv_id, turn, gate, CASE WHEN gate THEN {R("g", 6)} ELSE 0 END AS grounding_quality, CASE WHEN gate THEN {R("tc", 6)} ELSE 0 END AS task_completion_quality,
+  CASE WHEN NOT gate THEN 0.0::DOUBLE ELSE {S("(0.10::DOUBLE * f1 + 0.20::DOUBLE * g + 0.10::DOUBLE * ci + 0.20::DOUBLE * tc + 0.10::DOUBLE * sb + 0.10::DOUBLE * rq + 0.05::DOUBLE * co + 0.05::DOUBLE * ef + 0.10::DOUBLE * ah) * (0.5::DOUBLE + 0.5::DOUBLE * ah)", 6)} END AS total,
+  CASE WHEN a = '' THEN 'empty_answer,answer_too_short' WHEN length(a) < 80 THEN 'answer_too_short' WHEN length(a) > 6000 THEN 'answer_too_long' ELSE
+    array_to_string(list_filter([CASE WHEN turn % 4 > 0 AND ci = 0 THEN 'missing_or_invalid_citation' END, CASE WHEN tc < 0.6::DOUBLE THEN 'instruction_contract_incomplete' END, CASE WHEN ah < 0.6::DOUBLE THEN 'possible_reward_hacking' END], lambda y: y IS NOT NULL), ',') END AS violations FROM h""",
 )
 def rlvr_reward(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).withColumns({"sources": F.array().cast("array<int>"), "min_chars": F.lit(200), "max_chars": F.lit(900), "forbidden": F.array(F.lit("Qqq"))})
-    return W.rlvr_reward(rows).select("conv_id", "turn", "total")
+    k, t = F.col("conv_id"), F.col("turn")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = _pairs(spark, sf_dir).withColumns({
+        "question": F.col("solution"), "context": F.col("solution"), "documents": (t % 4).cast("int"), "retrieval_calls": (k % 6).cast("int"), "planned_queries": (t % 6).cast("int"), "follow_ups": (k % 4).cast("int"),
+        "minimum_chars": none("int"), "maximum_chars": none("int"), "citation_required": none("boolean"), "required_concepts": F.array(F.lit("the|der")), "forbidden_phrases": F.array(F.lit("Qqq")), "no_follow_up": none("boolean"), "minimum_action_items": none("int"), "must_mark_assumptions": none("boolean"),
+    })
+    return rewarded(rows).select("conv_id", "turn", "gate", "grounding_quality", "task_completion_quality", "total", F.array_join("violations", ",").alias("violations"))
 
 
-_SCORES = "sc AS (SELECT l_orderkey AS run_id, l_suppkey % 4 AS judge, l_linenumber % 5 AS dimension, 0.75::DOUBLE + l_discount AS score, 1 - l_tax AS confidence FROM lineitem)"
+def _runs(spark, sf_dir):
+    k = F.col("o_orderkey")
+    some = lambda c: F.when(k % 23 != 0, c)
+    return table(spark, sf_dir, "orders").select(
+        k.alias("run_id"), F.when(k % 11 == 0, "FAILED").otherwise("COMPLETED").alias("status"), F.lit(None).cast("string").alias("error"), F.col("o_orderpriority").alias("question"), F.when(k % 13 == 0, " ").otherwise("x").alias("answer"),
+        F.when(k % 17 == 0, k % 5 + 1).alias("rating"), (k % 19 == 0).alias("evaluation_only"), some((k % 5) / 4.0).alias("retrieval"), some(F.when(k % 9 == 0, 0.6).otherwise(1.0)).alias("grounding"),
+        some(F.lit(0.5)).alias("convergence"), some((k % 7) / 6.0).alias("task"), some(F.lit(1.0)).alias("collaboration"), some(1 - (k % 4) / 4.0).alias("efficiency"),
+    )
 
 
 def _scores(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 4).alias("judge"), (F.col("l_linenumber") % 5).alias("dimension"), (0.75 + F.col("l_discount")).alias("score"), (1 - F.col("l_tax")).alias("confidence"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("seq"), F.concat(F.lit(" j"), (F.col("l_linenumber") % 2).cast("string")).alias("judge"), (F.col("l_linenumber") % 5).alias("dimension"), (F.col("l_discount") * 10 + 0.2).alias("score"), (1.02 - F.col("l_tax") * 2).alias("confidence"))
 
 
-_JUDGED = f"""{_SCORES}, one AS (SELECT run_id, judge, dimension, max((confidence, score)) AS s FROM sc GROUP BY 1, 2, 3), o AS (SELECT run_id, dimension, s[2] AS x, s[1] AS c, greatest(0.05::DOUBLE, s[1]) AS w FROM one),
-mu AS (SELECT run_id, sum(x * w) / sum(w) AS mu FROM o GROUP BY 1), g AS (SELECT run_id, max(mu) AS mu, avg(c) AS mc, count(*) AS n, count(DISTINCT dimension) AS dims, sum(abs(x - mu)) / count(*) AS sp FROM o JOIN mu USING (run_id) GROUP BY 1),
-a AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE least(1, greatest(0, 1 - 2 * sp)) END AS ag FROM g), z AS (SELECT *, mc * ag * least(1, dims / 4.0::DOUBLE) AS cf FROM a),
-jd AS (SELECT run_id, n, dims, {S("mu", 6)} AS reward, {S("ag", 6)} AS agreement, {S("cf", 6)} AS confidence, CASE WHEN mu >= 0.75::DOUBLE THEN 'POSITIVE' WHEN mu <= 0.35::DOUBLE THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label,
-  CASE WHEN dims < 4 THEN 'INCOMPLETE' WHEN ag < 0.7::DOUBLE THEN 'DISAGREEMENT' WHEN cf < 0.72::DOUBLE THEN 'LOW_CONFIDENCE' WHEN mu < 0.75::DOUBLE THEN 'HOLD' ELSE 'TRAIN' END AS decision FROM z)"""
+_ASSESSED = f"""r0 AS (SELECT o_orderkey AS run_id, o_orderkey AS k, CASE WHEN k % 9 = 0 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS gr FROM orders),
+r AS (SELECT *, CASE WHEN k % 23 = 0 THEN 0 ELSE least(1, 0.20::DOUBLE * (k % 5) / 4.0::DOUBLE + 0.25::DOUBLE * gr + 0.15::DOUBLE * 0.5::DOUBLE + 0.25::DOUBLE * (k % 7) / 6.0::DOUBLE + 0.05::DOUBLE + 0.10::DOUBLE * (1 - (k % 4) / 4.0::DOUBLE)) END AS verifier,
+  array_to_string(list_filter([CASE WHEN k % 11 = 0 THEN 'not_completed' END, CASE WHEN k % 13 = 0 THEN 'blank_text' END, CASE WHEN k % 23 = 0 THEN 'no_reward' END, CASE WHEN k % 23 <> 0 AND gr < 0.7::DOUBLE THEN 'grounding' END, CASE WHEN k % 23 <> 0 AND k % 7 = 0 THEN 'task' END], lambda y: y IS NOT NULL), ',') AS reasons FROM r0),
+one AS (SELECT l_orderkey AS run_id, l_linenumber % 2 AS judge, l_linenumber % 5 AS dimension, min((l_linenumber, l_discount * 10 + 0.2::DOUBLE, 1.02::DOUBLE - l_tax * 2)) AS s FROM lineitem GROUP BY 1, 2, 3),
+o AS (SELECT run_id, dimension, least(1, greatest(0, s[2])) AS x, least(1, greatest(0, s[3])) AS c FROM one), g AS (SELECT run_id, sum(x * greatest(0.05::DOUBLE, c)) / sum(greatest(0.05::DOUBLE, c)) AS ai, avg(c) AS mc, count(*) AS n, count(DISTINCT dimension) AS dims FROM o GROUP BY 1),
+sp AS (SELECT run_id, avg(abs(x - ai)) AS sp FROM o JOIN g USING (run_id) GROUP BY 1), d AS (SELECT r.*, coalesce(ai, 0) AS ai, coalesce(mc, 0) AS mc, coalesce(n, 0) AS n, coalesce(dims, 0) AS dims, CASE WHEN coalesce(n, 0) < 2 THEN 0 ELSE least(1, greatest(0, 1 - 2 * sp)) END AS ag FROM r LEFT JOIN g USING (run_id) LEFT JOIN sp USING (run_id)),
+e AS (SELECT *, least(1, greatest(0, mc * ag * least(1, dims / 4.0::DOUBLE))) AS sure, {S("0.45::DOUBLE * verifier + 0.55::DOUBLE * ai", 4)} AS total FROM d),
+a AS (SELECT run_id, n, verifier, ai, total, sure, ag, reasons, CASE WHEN k % 19 = 0 THEN ['EVALUATION_ONLY', 'EXCLUDED'] WHEN reasons <> '' THEN ['REJECTED', 'EXCLUDED'] WHEN k % 17 = 0 THEN ['HUMAN_LABELED', CASE WHEN k % 5 + 1 >= 4 THEN 'POSITIVE' WHEN k % 5 + 1 <= 2 THEN 'NEGATIVE' ELSE 'HOLDOUT' END]
+  WHEN n < 4 OR {R("ag", 10)} < 0.7::DOUBLE OR {R("sure", 10)} < 0.72::DOUBLE THEN ['UNLABELED', 'HOLDOUT'] WHEN total >= 0.75::DOUBLE THEN ['PSEUDO_LABELED', 'POSITIVE'] WHEN total <= 0.35::DOUBLE THEN ['PSEUDO_LABELED', 'NEGATIVE'] ELSE ['UNLABELED', 'HOLDOUT'] END AS rung FROM e),
+jd AS (SELECT run_id, rung[1] AS label, rung[2] AS decision, {S("verifier", 4)} AS verifier, {S("ai", 4)} AS ai, total, CASE WHEN rung[1] = 'HUMAN_LABELED' THEN 1.0::DOUBLE ELSE {S("sure", 4)} END AS confidence, {S("ag", 4)} AS agreement, n, reasons FROM a)"""
 
 
-@query("judge_assessments", f"WITH {_JUDGED} SELECT * FROM jd")
+@query("judge_assessments", f"WITH {_ASSESSED} SELECT * FROM jd")
 def judge_assessments(spark, sf_dir):
-    return W.judged(_scores(spark, sf_dir))
+    return W.assessed(_runs(spark, sf_dir), _scores(spark, sf_dir))
 
 
-@query("alignment_metrics", f"WITH {_JUDGED} SELECT label, decision, count(*) AS n, {R('avg(reward)', 6)} AS avg_reward, {R('avg(CASE WHEN agreement < 0.7::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 6)} AS disagreement FROM jd GROUP BY 1, 2")
+@query("alignment_metrics", f"WITH {_ASSESSED} SELECT label, decision, count(*) AS n, {S('avg(total)', 6)} AS avg_total, {R('coalesce(avg(CASE WHEN agreement < 0.7::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (n >= 2), 0)', 6)} AS disagreement FROM jd GROUP BY 1, 2")
 def alignment_metrics(spark, sf_dir):
-    return W.alignment_metrics(W.judged(_scores(spark, sf_dir)))
+    return W.alignment_metrics(W.assessed(_runs(spark, sf_dir), _scores(spark, sf_dir)))
 
 
 @query(
@@ -109,17 +139,22 @@ def draft_or_revision(spark, sf_dir):
     return W.chosen_revision(rows).select("l_orderkey", "l_linenumber", "l_partkey", "winner")
 
 
-@query("judge_cost_bound", "SELECT count(*) AS n, CAST(sum(ceil(n_chars * 1.25::DOUBLE)) * 4 AS BIGINT) AS token_bound FROM documents")
+@query(
+    "judge_cost_bound",
+    f"WITH v AS (SELECT count(*) AS n, CAST(sum(ceil((n_chars + length(lang) + 600) * 1.25::DOUBLE)) * 4 AS BIGINT) AS i FROM documents) SELECT n, n * 4 AS calls, i AS input_tokens, n * 800 AS output_tokens, {R('(i * 0.3::DOUBLE + n * 800 * 0.6::DOUBLE) / 1e6::DOUBLE', 8)} AS cost FROM v",
+)
 def judge_cost_bound(spark, sf_dir):
-    return W.cost_bound(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("chars")))
+    return W.cost_bound(table(spark, sf_dir, "documents").select(F.length("lang").alias("question_chars"), F.col("n_chars").alias("answer_chars")), 0.3, 0.6)
 
 
 @query(
     "process_reward",
-    f"SELECT conv_id, turn, {R('least(1, CASE WHEN length(trim(text)) > 0 THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END + CASE WHEN turn BETWEEN 1 AND 4 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END + 0.2::DOUBLE * least(1, turn / 5.0::DOUBLE))', 6)} AS process FROM conversations",
+    f"SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 0.0::DOUBLE ELSE {R('least(1, CASE WHEN length(trim(text)) > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN contains(text, chr(10)) THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN turn BETWEEN 1 AND 4 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END + 0.2::DOUBLE * least(1, turn / 5.0::DOUBLE))', 6)} END AS process FROM conversations",
 )
 def process_reward(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("findings"), F.array("turn", "turn").alias("sources"), F.lit(4).alias("max_source"), (F.col("turn") / 5.0).alias("confidence"))
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", (F.col("turn") % 5 != 4).alias("success"), F.col("text").alias("findings"), F.when(F.col("text").contains("\n"), F.col("text")).alias("recommendations"), F.array("turn", "turn").alias("sources"), F.lit(4).alias("max_source"), (F.col("turn") / 5.0).alias("confidence")
+    )
     return W.process_reward(rows).select("conv_id", "turn", "process")
 
 
