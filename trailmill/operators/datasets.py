@@ -15,23 +15,26 @@ def round_numbers(runs: DataFrame) -> DataFrame:
 
 
 def best_per(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row per key. An aggregate of structs, not a window: partial results shrink hot keys before the shuffle."""
+    """The first row per key, by a rank that Spark also limits before the shuffle, so hot keys shrink."""
     w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn <= 1").drop("_rn")
 
 
 def hash_split(rows: DataFrame, key: str, ratio: float, half_even: bool = False) -> DataFrame:
     """``validation`` for the first clamp(round(n ratio), 1, n - 1) rows by SHA-256 of the key.
 
-    The cut is found by counting hash prefixes and ranking only inside the one prefix that holds it, so nothing sorts all rows.
+    The cut is found by counting hash prefixes, ranking the rows of the one prefix that holds it, and taking its hash and
+    key as the bound; all other rows are only compared with that bound.
     """
     hashed = rows.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)).withColumn("_p", F.substring("_h", 1, 3))
     prefixes = hashed.groupBy("_p").agg(F.count("*").alias("_n"))  # at most 4096 rows
     exact = F.sum("_n").over(Window.partitionBy()) * F.lit(ratio)
     wanted = F.rint(exact) if half_even else F.floor(exact + 0.5)
-    placed = prefixes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"), F.greatest(F.lit(1), F.least(F.sum("_n").over(Window.partitionBy()) - 1, wanted)).cast("long").alias("_k"))
-    ranked = hashed.join(F.broadcast(placed), "_p").withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)))
-    return ranked.withColumn("validation", F.col("_before") + F.col("_rn") <= F.col("_k")).drop("_h", "_p", "_before", "_k", "_rn")
+    placed = prefixes.select("_p", "_n", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"), F.greatest(F.lit(1), F.least(F.sum("_n").over(Window.partitionBy()) - 1, wanted)).cast("long").alias("_k"))
+    holds = placed.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n"))).select("_p", (F.col("_k") - F.col("_before")).alias("_at"))  # one row
+    inside = hashed.select("_p", "_h", F.col(key).alias("_key")).join(F.broadcast(holds), "_p").withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("_h", "_key")))
+    bound = inside.where("_rn = _at").select(F.struct("_h", "_key").alias("_bound"))
+    return hashed.join(F.broadcast(bound), F.lit(True), "left").withColumn("validation", F.coalesce(F.struct(F.col("_h"), F.col(key).alias("_key")) <= F.col("_bound"), F.lit(False))).drop("_h", "_p", "_bound")
 
 
 def round_robin(rows: DataFrame, strata: list[str], order: list[Column], n: int, key: str) -> DataFrame:
@@ -126,7 +129,9 @@ def contained(docs: DataFrame, cases: DataFrame, shortest: int = 12, gram: int =
     c = cases.select("item_id", compact(F.coalesce("text", F.lit(""))).alias("c")).where(F.length("c") >= shortest).withColumn("h", F.xxhash64(F.substring("c", 1, gram)))
     d = docs.select("doc_id", compact(F.coalesce("text", F.lit(""))).alias("d")).where(F.length("d") >= shortest)
     starts = F.array_distinct(F.transform(F.regexp_extract_all("d", F.lit(f"(?s)(?=(.{{{gram}}}))"), 1), lambda x: F.xxhash64(x)))
-    return d.withColumn("h", F.explode(starts)).join(c, "h").where(F.contains("d", "c")).select("doc_id", "item_id").distinct()
+    # Only ids and hashes meet the cases' hashes; the texts follow for the hits.
+    hits = d.select("doc_id", F.explode(starts).alias("h")).join(c.select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
+    return hits.join(d, "doc_id").join(c.select("item_id", "c"), "item_id").where(F.contains("d", "c")).select("doc_id", "item_id").distinct()
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column], minimum: int) -> DataFrame:
