@@ -5,6 +5,7 @@ A contract is a struct column; requirements are structs of a stable ``id`` and t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,12 @@ _TYPE = "concepts array<string>, forbidden array<string>, least_chars int, most_
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
+def _let(body: Callable[..., Column], **values: Column) -> Column:
+    """``body`` of values that are worked out once a row, however often it names them: variables of a lambda are not inlined."""
+    bound = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.element_at(F.transform(bound, lambda x: body(**{k: x[k] for k in values})), 1)
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -100,7 +107,8 @@ def citations_satisfied(answer: Column, context: Column) -> Column:
 def _items(values: Column) -> Column:
     """Trimmed, without blanks and repeats, the first 24; an item over 80 characters is an error."""
     kept = F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), _trimmed), lambda x: x.rlike(r"\S"))), 1, ITEMS)
-    return F.when(F.exists(kept, lambda x: F.length(x) > ITEM_CHARS), F.raise_error(F.lit("a contract item is too long")).cast("array<string>")).otherwise(kept)
+    error = F.raise_error(F.lit("a contract item is too long")).cast("array<string>")
+    return _let(lambda kept: F.when(F.exists(kept, lambda x: F.length(x) > ITEM_CHARS), error).otherwise(kept), kept=kept)
 
 
 def contract(concepts=None, forbidden=None, least_chars=None, most_chars=None, cite=None, direct=None, assume=None, actions=None) -> Column:
@@ -150,7 +158,7 @@ def structured(answer: Column, terms: Column) -> Column:
     """The answer with copied alternatives cut to the first one and, where actions are asked for, inline steps on lines of their own."""
     many = F.filter(terms["concepts"], lambda c: F.contains(c, F.lit("|")) & (F.element_at(_alternatives_or_blank(c), 1) != ""))
     plain = F.aggregate(many, F.coalesce(answer, F.lit("")), lambda text, c: F.replace(text, c, F.element_at(_alternatives_or_blank(c), 1)))
-    return F.when(terms["actions"] > 0, F.regexp_replace(plain, INLINE_STEP, "$1\n$2 ")).otherwise(plain)
+    return _let(lambda plain, actions: F.when(actions > 0, F.regexp_replace(plain, INLINE_STEP, "$1\n$2 ")).otherwise(plain), plain=plain, actions=terms["actions"])
 
 
 def _alternatives_or_blank(expression: Column) -> Column:
@@ -159,8 +167,8 @@ def _alternatives_or_blank(expression: Column) -> Column:
 
 def observed_actions(answer: Column) -> Column:
     """The largest of: numbers 1 to n without a gap, bullet lines, days of the week that are named."""
-    seen = F.regexp_extract_all(answer, F.lit(NUMBERED), 1)
-    ordinals = F.size(F.filter(F.sequence(F.lit(1), F.lit(10)), lambda n: F.forall(F.sequence(F.lit(1), n), lambda k: F.array_contains(seen, k.cast("string")))))
+    unbroken = lambda seen: F.size(F.filter(F.sequence(F.lit(1), F.lit(10)), lambda n: F.forall(F.sequence(F.lit(1), n), lambda k: F.array_contains(seen, k.cast("string")))))
+    ordinals = _let(unbroken, seen=F.regexp_extract_all(answer, F.lit(NUMBERED), 1))
     days = reduce(lambda a, b: a + b, [_any(answer, names).cast("int") for names in DAYS])
     return F.greatest(ordinals, F.size(F.regexp_extract_all(answer, F.lit(BULLETS), 0)), days)
 
@@ -189,10 +197,16 @@ def missing(terms: Column, answer: Column, context: Column) -> Column:
 
     Null answers and contexts are empty texts. Sources in the context demand a citation even where the contract does not.
     """
-    text = structured(answer, terms)
-    context = F.coalesce(context, F.lit(""))
+    text = lambda terms, answer, context: _let(_found, terms=terms, text=structured(answer, terms), context=F.coalesce(context, F.lit("")))
+    return _let(text, terms=terms, answer=answer, context=context)
+
+
+def _found(terms: Column, text: Column, context: Column) -> Column:
+    return _let(_listed, terms=terms, text=text, context=context, actions=observed_actions(text), n=F.length(text))
+
+
+def _listed(terms: Column, text: Column, context: Column, actions: Column, n: Column) -> Column:
     sources, cite = F.contains(context, F.lit("[来源 ")), F.coalesce(terms["cite"], F.lit(False))
-    actions, n = observed_actions(text), F.length(text)
     concepts = F.transform(terms["concepts"], lambda c, i: F.struct(c.alias("c"), i.alias("i")))
     phrases = F.transform(terms["forbidden"], lambda p, i: F.struct(p.alias("p"), i.alias("i")))
     when = lambda condition, name, requirement: F.array(F.when(condition, _requirement(name, requirement)))
@@ -217,6 +231,7 @@ def audited(rows: DataFrame, before: str, after: str) -> DataFrame:
     ``before`` and ``after`` are columns of :func:`missing`. A row counts once an id; rows that passed before are not looked at.
     """
     ids = lambda name: F.array_distinct(F.transform(F.col(name), lambda x: x["id"]))
-    each = rows.select(F.explode(ids(before)).alias("id"), ids(after).alias("_left"))
+    # Outer, since a plain explode filters by the size of its input first and so works the check out twice.
+    each = rows.select(F.explode_outer(ids(before)).alias("id"), ids(after).alias("_left")).where("id IS NOT NULL")
     left = F.array_contains("_left", F.col("id")).cast("long")
     return each.groupBy("id").agg(F.count("*").alias("n_before"), F.sum(1 - left).alias("n_resolved"), F.sum(left).alias("n_remaining"))
