@@ -48,7 +48,7 @@ answers AS (SELECT *, draft || CASE WHEN c % 3 = 1 THEN '{_SAY}' ELSE '' END ||
 @query("contract_check", f"WITH {_ANSWERS_SQL}, found AS (SELECT k, answer, {_missing_sql('answer')} AS ids FROM answers) SELECT k AS run_id, len(ids) = 0 AS passed, array_to_string(ids, ',') AS missing_ids, length(answer) AS n_chars FROM found")
 def contract_check(spark, sf_dir):
     rows = _answers(spark, sf_dir).withColumn("found", C.missing(F.col("contract"), F.col("answer"), F.col("context")))
-    return rows.select("run_id", (F.size("found") == 0).alias("passed"), F.array_join("found.id", ",").alias("missing_ids"), F.length("answer").alias("n_chars"))
+    return rows.select("run_id", (F.size("found") == 0).alias("passed"), F.array_join("found.id", ",").alias("missing_ids"), F.length("answer").cast("long").alias("n_chars"))
 
 
 @query(
