@@ -54,6 +54,25 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _at(spark: SparkSession, path: str):
+    """(file system, path)"""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _at(spark, path)
+    return files.exists(target)
+
+
+def renamed(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a folder; its new parent is made where it is missing."""
+    files, target = _at(spark, to)
+    files.mkdirs(target.getParent())
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(path), target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 class Store:
     """Tables of one operator call. ``put`` writes and rereads; ``drop`` removes one that nothing reads any more."""
 
