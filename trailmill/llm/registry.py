@@ -1,4 +1,4 @@
-"""The ten corpus queries. Each module's ``query`` applies its operator, with production parameters, to its whole table."""
+"""The corpus queries. Each module's ``query`` applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_language_model": "language_model",
     "op9_decontamination": "decontam",
     "op10_chat_formatting": "chat_format",
+    "op13_leaderboard_feed": "leaderboard",
 }
 
 QUERIES = {}
