@@ -65,6 +65,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    files, target = _at(spark, path)
+    files.delete(target, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders below one; none if it is not there."""
+    files, target = _at(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(target) if x.isDirectory()] if files.exists(target) else []
+
+
 def renamed(spark: SparkSession, path: str, to: str) -> None:
     """Moves a folder; its new parent is made where it is missing."""
     files, target = _at(spark, to)
