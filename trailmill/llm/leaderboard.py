@@ -33,8 +33,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from trailmill.plans.shared_store import Store, exists, renamed
+from trailmill.plans.shared_store import Store
 from trailmill.sources.tables import table
+from trailmill.streaming.stateful import Feed
 
 BATCHES = 8
 FIRST_DAY, DAYS = 19723, 180
@@ -199,61 +200,27 @@ def boards(stream: DataFrame, places: int = PLACES) -> DataFrame:
     return shards.groupBy("nation_id").transformWithStateInPandas(NationBoard(places), CHANGES, "append", "none")
 
 
-#: What the state store needs: RocksDB for transformWithState, small commits, one bound on memory for all its instances. Every start
-#: opens its state anew, so a task closes its own (4 MB of disk at the least) when it ends.
-_STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
-}
-
-
-def _session(spark: SparkSession) -> SparkSession:
-    """A session of the same application with the state store set, so that the caller's settings stay."""
-    session = spark.newSession()
-    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes"):
-        session.conf.set(name, spark.conf.get(name))
-    for name, value in _STATE.items():
-        session.conf.set(name, value)
-    return session
-
-
 def fed(lines: DataFrame, store: Store, batches: int = BATCHES, lateness: int = LATENESS, places: int = PLACES) -> DataFrame:
     """``CHANGES`` of ``LINES``, fed batch by batch; lines whose day is more than ``lateness`` days below the largest of earlier
     batches are dropped. The lines are written once, by batch; what goes to the driver is one day a batch."""
-    spark = lines.sparkSession
-    staged, feed, target, progress = (f"{store.root}/{x}" for x in ("staged", "feed", "changes", "progress"))
-    lines.withColumn("fed", F.col("batch")).write.partitionBy("fed").option("compression", "zstd").parquet(staged)
-    schema = lines.schema
-    newest = {r["batch"]: r["d"] for r in spark.read.schema(schema).parquet(staged).groupBy("batch").agg(F.max("day").alias("d")).collect()}
-    session, largest = _session(spark), None
-    for batch in range(1, batches + 1):
-        if not exists(spark, f"{staged}/fed={batch}"):
-            continue
-        renamed(spark, f"{staged}/fed={batch}", f"{feed}/fed={batch}")
-        stream = session.readStream.schema(schema).parquet(f"{feed}/*").where("nation_id IS NOT NULL AND item_id IS NOT NULL AND cents IS NOT NULL")
-        if largest is not None:
-            stream = stream.where(F.col("day") + lateness >= largest)
-        run = boards(stream, places).writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", progress).trigger(availableNow=True).start()
-        try:
-            run.awaitTermination()
-        finally:
-            run.stop()
+    feed, largest = Feed(lines, store), None
+    newest = {r["batch"]: r["d"] for r in feed.staged().groupBy("batch").agg(F.max("day").alias("d")).collect()}
+    for batch in feed.batches(range(1, batches + 1)):
+        known = F.col("nation_id").isNotNull() & F.col("item_id").isNotNull() & F.col("cents").isNotNull()
+        on_time = F.lit(True) if largest is None else F.col("day") + lateness >= largest
+        feed.start(lambda stream, use=known & on_time: boards(stream.where(use), places))
         largest = max(x for x in (largest, newest.get(batch)) if x is not None)
-    if largest is None:
-        return spark.createDataFrame([], CHANGES)
-    return spark.read.schema(CHANGES).parquet(target)
+    return feed.results() if largest is not None else lines.sparkSession.createDataFrame([], CHANGES)
 
 
 def _cents(amount: Column) -> Column:
     return F.floor(amount * 100 + 0.5).cast("double")
 
 
-def lines_of(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame, batches: int = BATCHES) -> DataFrame:
+def lines_of(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame, store: Store, batches: int = BATCHES) -> DataFrame:
     """``LINES`` of the shop's tables: one row per line, with null cents where the item is not known. Both small sides are
-    shuffled, since they grow with the shop; Spark splits the partitions of hot vendors and items."""
+    shuffled, since they grow with the shop. They are made unique and written first: a join of plain exchanges is one
+    whose hot partitions Spark can split."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     h = F.crc32(F.concat_ws(",", text("sale_id"), text("item_id"), text("vendor_id"), text("line_no")).cast("binary"))
     lines = sale_lines.select("item_id", "vendor_id", "quantity", "amount", "flag", h.alias("h"), F.unix_date(F.to_date("shipped_at")).cast("long").alias("shipped"))
@@ -261,18 +228,18 @@ def lines_of(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame, batche
     lines = lines.withColumn("arrival_day", F.col("day") + F.col("h") % 7 + F.when(F.col("h") % 5 == 0, 20).otherwise(0))
     batch = F.least(F.lit(batches), 1 + F.floor((F.col("arrival_day") - FIRST_DAY) * batches / DAYS))
     lines = lines.withColumn("batch", F.greatest(F.lit(1), batch).cast("int"))
-    nations = vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id")).hint("merge")
-    prices = items.groupBy("item_id").agg(F.max("price").alias("price"), F.lit(True).alias("known")).hint("merge")
+    nations = store.put(vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id"))).hint("merge")
+    prices = store.put(items.groupBy("item_id").agg(F.max("price").alias("price"), F.lit(True).alias("known"))).hint("merge")
     joined = lines.join(nations, "vendor_id", "left").join(prices, "item_id", "left")
     cents = F.coalesce(_cents(F.col("amount")), F.col("quantity") * _cents(F.col("price")), F.lit(0.0))
     cents = F.when(F.col("known"), F.when(F.col("flag") == "swapped", -cents).otherwise(cents))
-    shards = SHARDS + items.count() // ITEMS_A_SHARD
+    shards = SHARDS + prices.count() // ITEMS_A_SHARD
     return joined.select("nation_id", "item_id", "day", "arrival_day", "batch", cents.alias("cents"), F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = lines_of(*(table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")))
-    return fed(lines, Store(spark, "leaderboard"))
+    store = Store(spark, "leaderboard")
+    return fed(lines_of(*(table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")), store), store)
 
 
 ORACLE_SQL = """
