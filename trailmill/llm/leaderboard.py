@@ -42,7 +42,7 @@ FIRST_DAY, DAYS = 19723, 180
 LATENESS = 15
 PLACES = 10
 #: Items of a nation are dealt over this many state keys, and over one more for every so many items.
-SHARDS, ITEMS_A_SHARD = 64, 50_000
+SHARDS, ITEMS_A_SHARD = 32, 50_000
 CHUNK = 1024
 
 LINES = "nation_id int, item_id long, day long, arrival_day long, batch int, cents double, shard int"
