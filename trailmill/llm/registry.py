@@ -15,6 +15,8 @@ _MODULES = {
     "op8_language_model": "language_model",
     "op9_decontamination": "decontam",
     "op10_chat_formatting": "chat_format",
+    "op11_source_divergence": "divergence",
+    "op12_bpe_codec": "bpe_codec",
     "op13_leaderboard_feed": "leaderboard",
 }
 

@@ -19,11 +19,11 @@ def bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(values.buffers()[2], np.uint8)[places[0] : places[-1]], np.diff(places)
 
 
-def numbered(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(number of each word, the different words, where each text's words begin and the end). Words end at ASCII white space;
-    ``lower``: A-Z as a-z."""
+def numbered(texts: list[bytes], lower: bool = False, between: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(number of each word, the different words, where each text's words begin and the end). Words end at ASCII white space,
+    or at any byte that ``between`` (256 truths, the blank's among them) marks; ``lower``: A-Z as a-z."""
     joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    space = (joined == 32) | ((joined - np.uint8(9)) <= 4)
+    space = (joined == 32) | ((joined - np.uint8(9)) <= 4) if between is None else between[joined]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     begin, size = edge[::2], edge[1::2] - edge[::2]
     data = joined[~space]
