@@ -43,5 +43,9 @@ def test_matches_sql(spark, connection, name):
     assert canonical(got) == canonical(want)
 
 
+#: Held against something else than SQL; each says by what.
+WITHOUT_SQL = {"precision_validation"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
