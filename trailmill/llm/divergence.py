@@ -1,7 +1,7 @@
 """Audit of how far the sources of a language diverge: every source against every other, and the terms that set it apart.
 
-Terms are counted once, in the tasks that read the texts, and summed by language, source and term. A language's kept
-terms are dealt by hash into shards and numbered there, its sources into blocks; a cell is one block's count vectors
+Terms are counted once, in the tasks that read the texts; a task passes on one row for each language and term, with its
+sources' counts, so that rare terms are dropped before anything is counted by source. A language's kept terms are dealt by hash into shards and numbered there, its sources into blocks; a cell is one block's count vectors
 over one shard, so that no task ever holds a whole vocabulary or all sources. The pairs are evaluated by systolic
 rotation: the cells stay where they are (one partitioning, kept on the executors' disks), and in each round of a round-robin
 tournament a compressed copy of every block's vectors travels to the cell of the block that it meets. A meeting is
@@ -38,11 +38,12 @@ SCALE = 1_000_000_000
 TOP_TERMS = 10
 #: Counts that a cell may hold: sources of a block times terms of a shard.
 CELL = 1 << 21
-HELD_ROWS = 1_000_000
+#: Counts that a task holds before it passes them on, and bytes of text that it looks at together.
+HELD_ROWS, AT_ONCE = 300_000, 4_000_000
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-COUNTS = "lang string, source string, term string, n long, docs long"
+PARTIAL = "lang string, term string, docs long, sources array<string>, counts array<bigint>"
 
 
 def probability(count: np.ndarray, total: np.ndarray | int, kept: np.ndarray | int) -> np.ndarray:
@@ -61,14 +62,17 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial ``COUNTS`` of a split; the row with the empty term says that the source occurs."""
+    """``PARTIAL`` of a split; the row with the empty term says which sources occur."""
     keys = ["lang", "source", "term"]
 
     def summed(held: list[pa.Table]) -> pa.Table:
         return pa.concat_tables(held).group_by(keys).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns([*keys, "n", "docs"])
 
     def sent(found: pa.Table) -> list[pa.RecordBatch]:
-        return found.cast(pa.schema([*((k, pa.string()) for k in keys), ("n", pa.int64()), ("docs", pa.int64())])).combine_chunks().to_batches(max_chunksize=65_536)
+        found = found.group_by(["lang", "term"]).aggregate([("docs", "sum"), ("source", "list"), ("n", "list")])
+        types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        found = found.rename_columns([f.split()[0] for f in PARTIAL.split(", ")])
+        return found.cast(pa.schema(list(zip(found.column_names, types, strict=True)))).combine_chunks().to_batches(max_chunksize=16_384)
 
     held: list[pa.Table] = []
     n_held = 0
@@ -78,7 +82,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_row = groups.join(number.append_column("group", pa.array(np.arange(len(number)))), ["lang", "source"]).sort_by("row")["group"].to_numpy()
         named = lambda g, term, n, docs: pa.table({"lang": number["lang"].take(pa.array(g)), "source": number["source"].take(pa.array(g)), "term": term.cast(pa.large_string()), "n": n, "docs": docs})  # noqa: E731, B023
         held.append(named(np.arange(len(number)), pa.array([""] * len(number)), np.zeros(len(number), np.int64), number["row_count"]))
-        for first, texts in pieces(b.column(0)):
+        for first, texts in pieces(b.column(0), AT_ONCE):
             codes, words, starts = numbered(texts, lower=True, between=_BETWEEN)
             if not len(codes):
                 continue
@@ -101,10 +105,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sent(summed(held))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """``COUNTS`` of the whole table: occurrences and documents of each term by language and source."""
+def counts(docs: DataFrame, min_docs: int) -> DataFrame:
+    """lang, source, term, n: occurrences of each term in ``min_docs`` of its language's documents, and a row with the empty term for each source."""
     named = docs.select("text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")])
-    return named.mapInArrow(_counted, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = named.mapInArrow(_counted, PARTIAL).withColumn("_in", F.sum("docs").over(Window.partitionBy("lang", "term")))
+    each = found.where((F.col("_in") >= min_docs) | (F.col("term") == "")).select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    return each.groupBy("lang", F.col("x.sources").alias("source"), "term").agg(F.sum("x.counts").alias("n"))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +222,9 @@ def _parts(whole: Column, size: Column) -> Column:
 
 def audited(docs: DataFrame, store: Store, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, cell: int = CELL) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank. What goes to the driver is one number, the most blocks of a language."""
-    counted = store.put(counts(docs))
+    counted = store.put(counts(docs, min_docs))
     found = counted.where("term <> ''")
-    kept = found.groupBy("lang", "term").agg(F.sum("n").alias("whole"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term", "whole")
-    kept = store.put(kept)
+    kept = store.put(found.groupBy("lang", "term").agg(F.sum("n").alias("whole")))
     sources = counted.where("term = ''").groupBy("lang").agg(F.count("*").alias("sources"))
     # As many blocks as a block has sources, about; shards so small that a cell stays within its bound.
     langs = sources.join(kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("whole").alias("whole_total")), "lang", "left").na.fill(0)
@@ -228,7 +233,7 @@ def audited(docs: DataFrame, store: Store, min_docs: int = MIN_DOCS, top: int =
     number = Window.partitionBy("lang", "shard").orderBy("term")
     terms = kept.join(langs, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int"))
     terms = store.put(terms.withColumn("place", F.row_number().over(number) - 1).select("lang", "term", "shard", "place", "whole"))
-    cells = store.put(found.drop("docs").join(terms, ["lang", "term"]))
+    cells = store.put(found.join(terms, ["lang", "term"]))
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = store.put(counted.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").na.fill(0).join(langs, "lang"))
 
