@@ -35,7 +35,8 @@ def shared_root(spark: SparkSession) -> str:
 _OWN: set[str] = set()
 
 
-def _application_folder(spark: SparkSession) -> str:
+def application_folder(spark: SparkSession) -> str:
+    """A folder of the application's own in the shared one; it goes when the driver ends."""
     folder = f"{shared_root(spark)}/trailmill/{spark.sparkContext.applicationId}"
     if folder not in _OWN:
         _OWN.add(folder)
@@ -89,7 +90,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._paths: dict[int, str] = {}
         self._n = 0
 

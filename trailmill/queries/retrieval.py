@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from trailmill.catalog import query
 from trailmill.operators import retrieval as R
+from trailmill.plans.shared_store import application_folder
 from trailmill.plans.views import jround_sql
+from trailmill.sources import vector_index as V
 from trailmill.sources.tables import table
 
 _VECTOR = f"""vs AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, {jround_sql("list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))", 6)} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
@@ -31,6 +33,27 @@ def vector_topk(spark, sf_dir):
     return R.vector_topk(*_vectors(spark, sf_dir), k=10)
 
 
+def _index(spark, sf_dir):
+    """Kept for the application: a second query finds it and reads no table."""
+    rows = lambda: table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label")
+    prints = V.file_fingerprint(table(spark, sf_dir, "embeddings"))
+    return V.opened(spark, f"{application_folder(spark)}/vector-index", prints, rows, "item_id long, v array<float>, label int")
+
+
+@query("vector_index_topk", f"WITH {_VECTOR} SELECT * FROM v")
+def vector_index_topk(spark, sf_dir):
+    return V.search(_index(spark, sf_dir), _vectors(spark, sf_dir)[0], k=10)
+
+
+@query(
+    "vector_filtered_topk",
+    f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, {jround_sql("list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))", 6)} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.label % 3 = 1)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s WHERE score >= 0.5::DOUBLE QUALIFY rank <= 3""",
+)
+def vector_filtered_topk(spark, sf_dir):
+    return V.search(_index(spark, sf_dir), _vectors(spark, sf_dir)[0], k=3, threshold=0.5, where=F.col("label") % 3 == 1)
+
+
 @query("lexical_topk", f"WITH {_LEXICAL} SELECT * FROM l")
 def lexical_topk(spark, sf_dir):
     return R.lexical_topk(*_texts(spark, sf_dir), k=10)
