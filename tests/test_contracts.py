@@ -86,3 +86,15 @@ def test_audit(spark):
     rows = spark.createDataFrame([([("a", ""), ("b", "")], [("b", "")]), ([("b", "")], []), ([], [("a", "")])], f"before {found}, after {found}")
     assert sorted(tuple(r) for r in C.audited(rows, "before", "after").collect()) == [("a", 1, 1, 0), ("b", 2, 1, 1)]
     assert C.audited(rows.limit(0), "before", "after").collect() == []
+
+
+@pytest.mark.parametrize("numbers", [{"least_chars": -1}, {"least_chars": 8001}, {"most_chars": 0}, {"most_chars": 9000}, {"actions": -4}, {"actions": 21}, {"least_chars": 5, "most_chars": 4}])
+def test_numbers_out_of_range_are_refused(spark, numbers):
+    with pytest.raises(Exception, match="contract's"):
+        value(spark, C.contract(**{k: F.lit(v) for k, v in numbers.items()}))
+
+
+def test_numbers_at_their_bounds(spark):
+    got = value(spark, C.contract(least_chars=F.lit(0), most_chars=F.lit(8000), actions=F.lit(20)))
+    assert (got.least_chars, got.most_chars, got.actions) == (0, 8000, 20)
+    assert value(spark, C.contract()).most_chars is None

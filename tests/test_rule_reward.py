@@ -102,3 +102,16 @@ def test_release_gates(spark):
     assert gates(candidate={"cost": 3.0, "mode": "ADAPTIVE_MULTI_AGENT", "expected_mode": None}).failed == ""
     assert gates(first={"expected_mode": "ADAPTIVE_MULTI_AGENT"}).failed == "route" and gates(candidate={"score": 0.7}).failed == "score,regression"
     assert gates(first={"failed": True}).failed == "critical,failures" and gates(first={"score": 0.59}).failed == "critical"
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    hidden, blank = "\n\t" + '{"queries": 1}' + "x" * 90, "\n\t　\r\n"
+    out = scored(spark, {"answer": hidden}, {"answer": blank}, {"answer": "\n" * 50 + "y" * 70 + "\n" * 50})
+    assert [r.violations for r in out] == [["internal_trace_exposed"], ["empty_answer", "answer_too_short"], ["answer_too_short"]]
+    assert [r.total for r in out] == [0, 0, 0]
+
+
+def test_blank_texts_fail_the_hard_checks(spark):
+    rows = [("COMPLETED", None, q, a, 1.0, 1.0) for q, a in (("q", "a"), ("\n\t", "a"), ("q", "　 \r"), ("q", None), ("q", " "))]
+    out = W.hard_checks(spark.createDataFrame(rows, "status string, error string, question string, answer string, grounding double, task double").coalesce(1)).collect()
+    assert [r.reasons for r in out] == [[], ["blank_text"], ["blank_text"], ["blank_text"], []]

@@ -58,6 +58,10 @@ _TYPE = "concepts array<string>, forbidden array<string>, least_chars int, most_
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
+#: Bounds of a contract's numbers; one outside is an error (fixed values).
+LEAST_CHARS, MOST_CHARS, ACTIONS = (0, 8000), (1, 8000), (0, 20)
+
+
 def _let(body: Callable[..., Column], **values: Column) -> Column:
     """``body`` of values that are worked out once a row, however often it names them: variables of a lambda are not inlined."""
     bound = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
@@ -115,11 +119,19 @@ def contract(concepts=None, forbidden=None, least_chars=None, most_chars=None, c
     """A contract of columns; what is not given is null, or empty for the two lists."""
     none = F.lit(None)
     given = [_items(none.cast("array<string>") if c is None else c) for c in (concepts, forbidden)]
-    given += [none if c is None else c for c in (least_chars, most_chars, cite, direct, assume, actions)]
+    low, high, steps = (none if c is None else c.cast("int") for c in (least_chars, most_chars, actions))
+    low, high, steps = (_within(c, *bounds) for c, bounds in ((low, LEAST_CHARS), (high, MOST_CHARS), (steps, ACTIONS)))
+    high = F.when(low > high, F.raise_error(F.lit("a contract's least length is above its most")).cast("int")).otherwise(high)
+    given += [low, high, *(none if c is None else c for c in (cite, direct, assume)), steps]
     names = [part.strip().split(" ") for part in _TYPE.split(", ")]
     return F.struct(*[c.cast(kind).alias(name) for c, (name, kind) in zip(given, names, strict=True)])
 
 
+def _within(number: Column, low: int, high: int) -> Column:
+    error = F.raise_error(F.lit(f"a contract's number is not between {low} and {high}")).cast("int")
+    return F.when((number < low) | (number > high), error).otherwise(number)
+
+
 def inferred(question: Column) -> Column:
     """The contract that a question states by itself; null counts as an empty question."""
     q = F.coalesce(question, F.lit(""))

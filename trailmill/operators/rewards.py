@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.numeric import clamp, jround, stable
-from trailmill.functions.text import answer_units, multiset_overlap
+from trailmill.functions.text import answer_units, multiset_overlap, says, stripped
 
 
 def first_step(steps: Column, kind: str) -> Column:
@@ -52,7 +52,7 @@ VERIFIER_SHARE, JUDGE_SHARE = 0.45, 0.55
 
 def hard_checks(runs: DataFrame, min_grounding: float = 0.7) -> DataFrame:
     """Adds ``reasons``: why a run may not be used at all, empty if it may. Without a reward nothing further is checked."""
-    filled = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
+    filled = lambda c: says(F.col(c))
     ended = ~F.coalesce(F.col("status") == "COMPLETED", F.lit(False)) | filled("error")
     rewarded = F.col("grounding").isNotNull()
     rules = {"not_completed": ended, "blank_text": ~filled("question") | ~filled("answer"), "no_reward": ~rewarded, "grounding": rewarded & (F.col("grounding") < min_grounding), "task": rewarded & (F.col("task") <= 0)}
@@ -65,8 +65,8 @@ def assessed(runs: DataFrame, scores: DataFrame, min_judges: int = 4, min_agreem
     runs: run_id, status, error, question, answer, rating (null: none), evaluation_only, and the parts of ``VERIFIER``
     (all null: no reward). scores: run_id, seq, judge, dimension, score, confidence; the first of a judge and dimension counts.
     """
-    named = scores.where(F.col("dimension").isNotNull() & (F.trim(F.coalesce("judge", F.lit(""))) != ""))
-    one = named.groupBy("run_id", F.trim("judge").alias("judge"), "dimension").agg(F.min(F.struct("seq", "score", "confidence")).alias("s"))
+    named = scores.where(F.col("dimension").isNotNull() & says(F.col("judge")))
+    one = named.groupBy("run_id", stripped(F.col("judge")).alias("judge"), "dimension").agg(F.min(F.struct("seq", "score", "confidence")).alias("s"))
     one = one.select("run_id", "dimension", clamp(F.col("s.score")).alias("x"), clamp(F.col("s.confidence")).alias("c"))
     w = F.greatest(F.lit(0.05), F.col("c"))
     g = one.groupBy("run_id").agg((F.sum(F.col("x") * w) / F.sum(w)).alias("ai"), F.avg("c").alias("mc"), F.count("*").alias("n"), F.countDistinct("dimension").alias("dims"))
@@ -137,7 +137,7 @@ def process_reward(rows: DataFrame) -> DataFrame:
     """
     known = F.slice(F.array_distinct(F.filter("sources", lambda s: (s >= 1) & (s <= F.col("max_source")))), 1, 12)
     out = rows.withColumn("known", known)
-    said = lambda c, x: F.when(F.length(F.trim(F.coalesce(c, F.lit("")))) > 0, x).otherwise(0.0)
+    said = lambda c, x: F.when(says(F.col(c)), x).otherwise(0.0)
     whole = said("findings", 0.2) + said("recommendations", 0.3) + F.when(F.size("known") > 0, 0.3).otherwise(0.1) + 0.2 * clamp(F.col("confidence"))
     return out.withColumn("process", F.when(F.col("success"), jround(F.least(F.lit(1.0), whole), 6)).otherwise(0.0))
 

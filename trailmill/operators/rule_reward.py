@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.numeric import clamp, jround, stable
-from trailmill.functions.text import any_phrase, multiset_overlap, table_lines
+from trailmill.functions.text import any_phrase, multiset_overlap, stripped, table_lines
 
 # Weights and marks that decide results.
 WEIGHTS = {
@@ -94,13 +94,13 @@ def observed_count(answer: Column) -> Column:
 
 def internal_trace(answer: Column) -> Column:
     """Whether the answer shows the machinery: it opens with a tool's JSON or holds an environment mark."""
-    opening = F.ltrim(answer)
+    opening = stripped(answer)
     return F.startswith(opening, F.lit(TRACES[0])) | F.startswith(opening, F.lit(TRACES[1])) | _has(answer, TRACE_MARKS)
 
 
 def repeated_ratio(text: Column) -> Column:
     """Share of lines of eight or more characters, white space single, that repeat an earlier one."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: F.length(x) >= 8)
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: stripped(F.regexp_replace(x, r"\s+", " "))), lambda x: F.length(x) >= 8)
     return F.when(F.size(lines) < 2, 0.0).otherwise((F.size(lines) - F.size(F.array_distinct(lines))) / F.greatest(F.size(lines), F.lit(1)))
 
 
@@ -113,8 +113,8 @@ def task_completion(answer: Column, question: Column, low: Column, high: Column)
     for first, last in WEEKS:
         applies, met = F.contains(question, F.lit(first)) & F.contains(question, F.lit(last)), one(F.contains(answer, F.lit(first)) & F.contains(answer, F.lit(last)))
         week = F.when(applies, met) if week is None else week.when(applies, met)
-    concept = lambda e: one(F.exists(F.filter(F.transform(F.split(e, "[|]"), F.trim), lambda v: v != ""), lambda v: F.contains(answer, v)))
-    given = F.filter(F.coalesce("required_concepts", F.array().cast("array<string>")), lambda e: F.trim(e) != "")
+    concept = lambda e: one(F.exists(F.filter(F.transform(F.split(e, "[|]"), stripped), lambda v: v != ""), lambda v: F.contains(answer, v)))
+    given = F.filter(F.coalesce("required_concepts", F.array().cast("array<string>")), lambda e: stripped(e) != "")
     banned = F.filter(F.coalesce("forbidden_phrases", F.array().cast("array<string>")), lambda p: p != "")
     items = F.greatest(F.lit(0), F.least(F.lit(20), F.coalesce("minimum_action_items", F.lit(0))))
     single = F.array(
@@ -139,7 +139,7 @@ def rewarded(rows: DataFrame, static_baseline: bool = False) -> DataFrame:
     minimum_action_items, must_mark_assumptions (each may be null). static_baseline: .55 reference + .45 task, no gates
     but an empty answer and no brake.
     """
-    text = {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("answer", "question", "solution", "context")}
+    text = {c: stripped(F.coalesce(c, F.lit(""))) for c in ("answer", "question", "solution", "context")}
     count = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
     bounded = lambda c, default, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(c, F.lit(default))))
     own = {f"_{k}": v for k, v in text.items()} | {"_documents": count("documents"), "_calls": count("retrieval_calls"), "_planned": count("planned_queries"), "_rounds": count("follow_ups")}

@@ -59,7 +59,7 @@ _STOP = "['that', 'this', 'with', 'from', 'have']"
 
 @query(
     "rlvr_reward",
-    f"""WITH {_TURNS}, t AS (SELECT *, trim(answer) AS a, trim(solution) AS s FROM p),
+    f"""WITH {_TURNS}, t AS (SELECT *, regexp_replace(answer, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(solution, '^\\s+|\\s+$', '', 'g') AS s FROM p),
 x AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(a), '[a-z0-9]+')) AS w, 1 AS a, 0 AS b FROM t UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')), 0, 1 FROM t),
 c AS (SELECT conv_id, turn, w, sum(a) AS a, sum(b) AS b FROM x GROUP BY 1, 2, 3), f AS (SELECT conv_id, turn, sum(least(a, b)) AS k, sum(a) AS na, sum(b) AS nb FROM c GROUP BY 1, 2),
 l AS (SELECT t.*, k, na, nb, list_filter(list_transform(string_split(a, chr(10)), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: length(y) >= 8) AS ls,
