@@ -4,6 +4,9 @@ from datetime import date, datetime, timedelta
 from math import floor
 
 import duckdb
+import numpy as np
+import pandas as pd
+import pytest
 
 from trailmill.llm import leaderboard
 from trailmill.plans.shared_store import Store
@@ -70,3 +73,62 @@ def test_matches_sql(spark):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     want = duckdb.sql(f"SELECT nation_id, arrival_day, item_id, batch, change, old_rank, new_rank, revenue FROM ({leaderboard.ORACLE_SQL})").fetchall()
     assert rows_of(leaderboard.query(spark, folder)) == set(want)
+
+
+class Held:
+    """Map and value state without Spark."""
+
+    def __init__(self, *_):
+        self.map, self.value = {}, None
+
+    getMapState = getValueState = lambda self, *_: Held()
+
+    def iterator(self):
+        return iter(self.map.items())
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.map.pop(key, None)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("stretch", [1, 30, 10_000])
+@pytest.mark.parametrize(("n_items", "n_rows", "days"), [(5, 3, 1), (30, 40, 20), (200, 600, 5), (200, 600, 20)])
+def test_processors_against_a_plain_replay(monkeypatch, stretch, n_items, n_rows, days):
+    """Few and many items, falling and negative revenues, small chunks of state, short and long stretches of days."""
+    monkeypatch.setattr(leaderboard, "STRETCH", stretch)
+    monkeypatch.setattr(leaderboard, "CHUNK", 50)
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        shards, nation = [leaderboard.ShardBoards() for _ in range(4)], leaderboard.NationBoard()
+        for x in (*shards, nation):
+            x.init(Held())
+        revenue, board, want, got = {}, [], [], []
+        for batch in range(1, 5):
+            item, day, cents = rng.integers(0, n_items, n_rows), rng.integers((batch - 1) * days, batch * days, n_rows), np.floor(rng.normal(100, 400, n_rows))
+            told = []
+            for k, shard in enumerate(shards):
+                if (mine := item % 4 == k).any():
+                    frame = pd.DataFrame({"item_id": item[mine], "arrival_day": day[mine], "batch": batch, "cents": cents[mine]})
+                    told += shard.handleInputRows((1, k), iter([frame.iloc[:1], frame.iloc[1:]]), None)
+            if told:
+                for f in nation.handleInputRows((1,), iter(told), None):
+                    got += [tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in r) for r in f.itertuples(index=False)]
+            for d in range((batch - 1) * days, batch * days):
+                for i, c in zip(item[day == d].tolist(), cents[day == d].tolist(), strict=True):
+                    revenue[i] = revenue.get(i, 0) + c
+                best = [i for _, i in sorted((-v, i) for i, v in revenue.items() if v > 0)[:10]]
+                old, new = ({i: n for n, i in enumerate(x, 1)} for x in (board, best))
+                want += [(1, d, i, batch, "enter" if i not in old else "exit" if i not in new else "move", old.get(i), new.get(i), int(revenue[i])) for i in old.keys() | new.keys() if old.get(i) != new.get(i)]
+                board = best
+        assert len(got) == len(want) and set(got) == set(want)

@@ -6,11 +6,12 @@ started anew for it on one checkpoint. Within the query
 1. every input split sums its lines by nation, item and arrival day, so that a hot item is a few rows before the exchange;
 2. ``ShardBoards`` (keyed by nation and a hash shard of its items) holds the running revenues in a ``MapState``, replays
    the days in order on a list that ``bisect`` keeps ordered by (-revenue, item), and passes on what changed among the
-   shard's first places, since only those can be among the nation's;
+   shard's first places, since only those can be among the nation's. The list holds the items that can come among the first
+   at all: an item whose highest revenue within a stretch of days lies below what ten items never fall below cannot;
 3. ``NationBoard`` (keyed by nation) holds those candidates' revenues in a ``MapState`` and the saved board in a
    ``ValueState``, replays the days in the same way and gives the differences between a board and the one before.
 
-A nation with a third of all lines is dealt over ``shards`` keys in step 2, and what reaches its one key in step 3 is at
+A nation with a third of all lines is dealt over ``SHARDS`` keys in step 2, and what reaches its one key in step 3 is at
 most 20 rows for each shard and day, whatever the input. A map entry holds the revenues of a chunk of items, since a call
 to the state server for each item would cost more than the work. State, offsets and results are committed for each
 batch by Spark, so a lost executor or driver repeats one batch at most.
@@ -43,7 +44,10 @@ LATENESS = 15
 PLACES = 10
 #: Items of a nation are dealt over this many state keys, and over one more for every so many items.
 SHARDS, ITEMS_A_SHARD = 32, 50_000
-CHUNK = 1024
+#: Items of a map entry lie within so many ids; of one shard's, that is a thousand or two.
+CHUNK = 65_536
+#: Rows of a stretch of days, about, over which items are left aside together.
+STRETCH = 400
 
 LINES = "nation_id int, item_id long, day long, arrival_day long, batch int, cents double, shard int"
 PARTIAL = "nation_id int, shard int, item_id long, arrival_day long, batch int, cents double"
@@ -51,19 +55,12 @@ CANDIDATES = "nation_id int, arrival_day long, item_id long, batch int, cents do
 CHANGES = "nation_id int, arrival_day long, item_id long, batch int, change string, old_rank int, new_rank int, revenue long"
 
 
-class Revenues:
-    """Running revenues of one key, kept in a ``MapState`` from chunk number to (items, revenues), and the order of the
-    positive ones."""
+class Order:
+    """Revenues of items, and the positive ones in order: a list of (-revenue, item) that ``bisect`` keeps."""
 
-    def __init__(self, state):
-        self.state, self.cents, self.order, self.touched = state, {}, [], set()
-
-    def load(self) -> Revenues:
-        self.cents, self.touched = {}, set()
-        for _, (items, cents) in self.state.iterator():
-            self.cents.update(zip(np.frombuffer(items, "<i8").tolist(), np.frombuffer(cents, "<f8").tolist(), strict=True))
-        self.order = sorted((-v, k) for k, v in self.cents.items() if v > 0)
-        return self
+    def __init__(self, cents: dict[int, float]):
+        self.cents = cents
+        self.order = sorted((-v, k) for k, v in cents.items() if v > 0)
 
     def put(self, item: int, cents: float | None) -> None:
         """A new revenue; None forgets the item."""
@@ -72,32 +69,49 @@ class Revenues:
             del self.order[bisect_left(self.order, (-old, item))]
         if cents is None:
             self.cents.pop(item, None)
-        else:
-            self.cents[item] = cents
-            if cents > 0:
-                insort(self.order, (-cents, item))
-        self.touched.add(item // CHUNK)
+            return
+        self.cents[item] = cents
+        if cents > 0:
+            insort(self.order, (-cents, item))
 
     def first(self, places: int) -> list[int]:
         return [item for _, item in self.order[:places]]
 
-    def save(self) -> None:
-        held: dict[int, list[tuple[int, float]]] = {c: [] for c in self.touched}
-        for item, cents in self.cents.items():
-            if item // CHUNK in held:
-                held[item // CHUNK].append((item, cents))
-        for chunk, rows in held.items():
-            if rows:
-                items, cents = zip(*rows, strict=True)
-                self.state.updateValue((chunk,), (np.array(items, "<i8").tobytes(), np.array(cents, "<f8").tobytes()))
-            else:
-                self.state.removeKey((chunk,))
+
+def loaded(state) -> tuple[np.ndarray, np.ndarray]:
+    """(items, revenues) of a ``MapState`` from chunk number to both, in the order of the items."""
+    held = [value for _, value in state.iterator()]
+    items = np.frombuffer(b"".join(bytes(x) for x, _ in held), "<i8")
+    cents = np.frombuffer(b"".join(bytes(x) for _, x in held), "<f8")
+    order = np.argsort(items)
+    return items[order], cents[order]
+
+
+def saved(state, items: np.ndarray, cents: np.ndarray, touched: np.ndarray) -> None:
+    """Writes the chunks of the touched items. items: in order, and all that are held."""
+    for chunk in np.unique(touched // CHUNK).tolist():
+        a, b = np.searchsorted(items, (chunk * CHUNK, (chunk + 1) * CHUNK))
+        if a < b:
+            state.updateValue((chunk,), (items[a:b].astype("<i8").tobytes(), cents[a:b].astype("<f8").tobytes()))
+        else:
+            state.removeKey((chunk,))
 
 
 def _gathered(rows: Iterator[pd.DataFrame], names: list[str]) -> list[np.ndarray]:
+    """Columns of a key's rows in the order of day and item."""
     frames = [x[names] for x in rows]
     joined = pd.concat(frames) if len(frames) > 1 else frames[0]
-    return [joined[c].to_numpy() for c in names]
+    columns = [joined[c].to_numpy() for c in names]
+    order = np.lexsort((columns[0], columns[1]))
+    return [c[order] for c in columns]
+
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where rows with other values begin, and the end."""
+    differs = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        differs |= c[1:] != c[:-1]
+    return np.concatenate(([0], np.flatnonzero(differs) + 1, [len(columns[0])]))
 
 
 class ShardBoards(StatefulProcessor):
@@ -107,30 +121,57 @@ class ShardBoards(StatefulProcessor):
         self.places = places
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.revenues = Revenues(handle.getMapState("revenues", "chunk long", "items binary, cents binary"))
+        self.revenues = handle.getMapState("revenues", "chunk long", "items binary, cents binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        item, day, batch, cents = _gathered(rows, ["item_id", "arrival_day", "batch", "cents"])
-        held, out = self.revenues.load(), []
-        before = {i: held.cents[i] for i in held.first(self.places)}
-        order = np.lexsort((item, day))
-        item, cents, batch, days = item[order].tolist(), cents[order].tolist(), batch[order].tolist(), day[order]
-        edges = [0, *(np.flatnonzero(np.diff(days)) + 1).tolist(), len(days)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            added: dict[int, float] = {}
-            for k in range(a, b):
-                added[item[k]] = added.get(item[k], 0.0) + cents[k]
-            for i, x in added.items():
-                held.put(i, held.cents.get(i, 0.0) + x)
-            now = {i: held.cents[i] for i in held.first(self.places)}
-            at = int(days[a])
-            out += [(key[0], at, i, batch[a], x, True) for i, x in now.items() if before.get(i) != x]
-            out += [(key[0], at, i, batch[a], held.cents[i], False) for i in before if i not in now]
-            before = now
-        held.save()
+        item, day, batch, added = _gathered(rows, ["item_id", "arrival_day", "batch", "cents"])
+        edge = _edges(item, day)[:-1]
+        added = np.add.reduceat(added, edge)
+        item, day, batch = item[edge], day[edge], batch[edge]
+        known, held = loaded(self.revenues)
+        items = np.union1d(known, item)
+        cents = np.zeros(len(items))
+        cents[np.searchsorted(items, known)] = held
+        place = np.searchsorted(items, item)
+        out: list[tuple] = []
+        begins = _edges(day)
+        a = 0
+        while a < len(day):
+            b = int(begins[min(np.searchsorted(begins, a + STRETCH), len(begins) - 1)])
+            self._replayed(key[0], items, cents, place[a:b], day[a:b], batch[a:b], added[a:b], out)
+            a = b
+        saved(self.revenues, items, cents, item)
         if out:
             yield pd.DataFrame(out, columns=[f.split()[0] for f in CANDIDATES.split(", ")])
 
+    def _replayed(self, nation, items, cents, place, day, batch, added, out) -> None:
+        """Some days in a row; ``cents`` is brought to the end of the last one."""
+        order = np.lexsort((day, place))
+        sums, first = np.cumsum(added[order]), _edges(place[order])[:-1]
+        before = np.repeat(sums[first] - added[order][first], np.diff(np.append(first, len(order))))
+        running = np.empty(len(order))
+        running[order] = cents[place[order]] + sums - before
+        least, most = cents.copy(), cents.copy()
+        np.minimum.at(least, place, running)
+        np.maximum.at(most, place, running)
+        # Ten items are never below this in these days, so what is never that high is never among the ten.
+        bound = max(0.0, np.partition(least, -self.places)[-self.places]) if len(least) >= self.places else 0.0
+        may = (most >= bound) & (most > 0)
+        board = Order(dict(zip(items[may].tolist(), cents[may].tolist(), strict=True)))
+        old = {i: board.cents[i] for i in board.first(self.places)}
+        use = may[place]
+        who, when, which, value = items[place[use]].tolist(), day[use], batch[use].tolist(), running[use].tolist()
+        edges = _edges(when).tolist() if len(when) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            for k in range(a, b):
+                board.put(who[k], value[k])
+            now = {i: board.cents[i] for i in board.first(self.places)}
+            at = int(when[a])
+            out += [(nation, at, i, which[a], x, True) for i, x in now.items() if old.get(i) != x]
+            out += [(nation, at, i, which[a], board.cents[i], False) for i in old if i not in now]
+            old = now
+        np.add.at(cents, place, added)
+
     def close(self) -> None:
         pass
 
@@ -142,16 +183,15 @@ class NationBoard(StatefulProcessor):
         self.places = places
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.revenues = Revenues(handle.getMapState("candidates", "chunk long", "items binary, cents binary"))
+        self.candidates = handle.getMapState("candidates", "chunk long", "items binary, cents binary")
         self.board = handle.getValueState("board", "items array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        item, day, batch, cents, placed = _gathered(rows, ["item_id", "arrival_day", "batch", "cents", "placed"])
-        held, out = self.revenues.load(), []
+        items, day, batch, cents, placed = _gathered(rows, ["item_id", "arrival_day", "batch", "cents", "placed"])
+        known, amounts = loaded(self.candidates)
+        held, out = Order(dict(zip(known.tolist(), amounts.tolist(), strict=True))), []
         before = [int(x) for x in self.board.get()[0]] if self.board.exists() else []
-        order = np.lexsort((item, day))
-        item, cents, batch, placed, days = item[order].tolist(), cents[order].tolist(), batch[order].tolist(), placed[order].tolist(), day[order]
-        edges = [0, *(np.flatnonzero(np.diff(days)) + 1).tolist(), len(days)]
+        item, cents, batch, placed, edges = items.tolist(), cents.tolist(), batch.tolist(), placed.tolist(), _edges(day).tolist()
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             afterwards = {item[k]: cents[k] for k in range(a, b)}
             for k in range(a, b):
@@ -162,9 +202,10 @@ class NationBoard(StatefulProcessor):
                 if old.get(i) != new.get(i):
                     change = "enter" if i not in old else "exit" if i not in new else "move"
                     revenue = afterwards[i] if i in afterwards else held.cents[i]
-                    out.append((key[0], int(days[a]), i, batch[a], change, old.get(i), new.get(i), int(revenue)))
+                    out.append((key[0], int(day[a]), i, batch[a], change, old.get(i), new.get(i), int(revenue)))
             before = now
-        held.save()
+        order = sorted(held.cents)
+        saved(self.candidates, np.array(order, np.int64), np.array([held.cents[i] for i in order], np.float64), items)
         self.board.update((before,))
         if out:
             frame = pd.DataFrame(out, columns=[f.split()[0] for f in CHANGES.split(", ")])
