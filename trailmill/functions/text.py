@@ -13,18 +13,18 @@ def normalised(text: Column) -> Column:
 
 
 #: White space in the sense of Unicode and of ASCII's four separators. No-break blanks are stripped, but a text of them is not blank.
-_WHITE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NO_BREAK = r"\x85\u00a0\u2007\u202f"
 
 
 def stripped(text: Column) -> Column:
     """Without white space of any kind at both ends, line breaks and wide blanks among it; ``trim`` takes blanks only."""
-    return F.regexp_replace(text, f"^[{_WHITE}]+|[{_WHITE}]+$", "")
+    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def says(text: Column) -> Column:
     """Whether a text holds anything but white space; no-break blanks are something. Null says nothing."""
-    return F.coalesce(text.rlike(f"[^{_WHITE}]|[{_NO_BREAK}]"), F.lit(False))
+    return F.coalesce(text.rlike(f"[^{WHITE}]|[{_NO_BREAK}]"), F.lit(False))
 
 
 def compact(text: Column) -> Column:
