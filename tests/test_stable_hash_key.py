@@ -11,4 +11,6 @@ def test_every_row_and_the_whole_key(spark, tmp_path):
             h = (h * 31 + ord(c)) % 2**32
         return h
 
+    texts = dict(zip(ids, ["a" * 60, "", "", "a" * 60 + "b"]))
+    assert {r.doc_id: r.h for r in QUERIES["stable_hash"](spark, str(tmp_path)).collect()} == {i: slow(t) for i, t in texts.items()}
     assert {r.doc_id: r.h for r in QUERIES["stable_hash_key"](spark, str(tmp_path)).collect()} == {i: slow(str(i)) for i in ids}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmill.functions.numeric import jround, stable
 from trailmill.functions.text import any_phrase, citations, concept_coverage, length_quality
+from trailmill.operators.seeds import placed
 from trailmill.plans.shared_store import small
 
 WINNER_MARGIN, CRITICAL_DROP = 0.03, 0.15
@@ -115,11 +116,12 @@ def bootstrap(pairs: DataFrame, replicates: int, seed: str, broadcast_pairs: int
     """Paired bootstrap of the mean delta: 95 % interval by linear quantiles, share above 0.
 
     Draw i of replicate b is the pair with number hash(seed, b, i) mod n: the same in every engine and on any
-    partitioning. Pairs are the cases of a test set, numbered in the order of their ids; they are broadcast up to
-    ``broadcast_pairs`` and joined by number beyond.
+    partitioning. Pairs are the cases of a test set, numbered in the order of their ids (whole numbers by ranges, not in
+    one partition); they are broadcast up to ``broadcast_pairs`` and joined by number beyond.
     """
     spark = pairs.sparkSession
-    numbered = pairs.selectExpr("cast(row_number() over (order by case_id) - 1 as int) as k", "delta")
+    whole = pairs.schema["case_id"].dataType.simpleString() in ("int", "bigint")
+    numbered = placed(pairs, "case_id", "k").select(F.col("k").cast("int").alias("k"), "delta") if whole else pairs.selectExpr("cast(row_number() over (order by case_id) - 1 as int) as k", "delta")
     numbered = F.broadcast(numbered) if small(pairs, broadcast_pairs) else numbered
     n = pairs.count()
     if not n:

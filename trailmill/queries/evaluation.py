@@ -85,12 +85,12 @@ def paired_delta_stats(spark, sf_dir):
 @query(
     "bootstrap_hash",
     f"""WITH {_EXEC}, {_CMP}, k AS (SELECT row_number() OVER (ORDER BY case_id) - 1 AS k, delta FROM c), n AS (SELECT count(*) AS n FROM k),
-d AS (SELECT b, CAST('0x' || substr(sha256('release|' || b || '|' || i), 1, 8) AS BIGINT) % n AS k FROM (SELECT unnest(range(0, 200)) AS b), (SELECT n, unnest(range(0, n)) AS i FROM n)), m AS (SELECT b, {R("avg(delta)")} AS m FROM d JOIN k USING (k) GROUP BY 1)
+d AS (SELECT b, CAST('0x' || substr(sha256('release|' || b || '|' || i), 1, 8) AS BIGINT) % n AS k FROM (SELECT unnest(range(0, 10000)) AS b), (SELECT n, unnest(range(0, n)) AS i FROM n)), m AS (SELECT b, {R("avg(delta)")} AS m FROM d JOIN k USING (k) GROUP BY 1)
 SELECT max(n) AS n, count(*) AS replicates, {R("quantile_cont(m, 0.025)", 6)} AS low, {R("quantile_cont(m, 0.975)", 6)} AS high, {R("avg(CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", 6)} AS above FROM m, n""",
 )
 def bootstrap_hash(spark, sf_dir):
     pairs = E.comparisons(executions(spark, sf_dir), "baseline", "candidate").select("case_id", "delta")
-    return E.bootstrap(pairs, 200, "release")
+    return E.bootstrap(pairs, 10_000, "release")
 
 
 @query(

@@ -42,15 +42,15 @@ def text_structure(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.action_items(F.col("text")).cast("long").alias("actions"), T.table_lines(F.col("text")).cast("long").alias("table_lines"))
 
 
-@query("stable_hash", "SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text[1:50], ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM documents WHERE length(text) > 0")
+@query("stable_hash", "SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM documents")
 def stable_hash(spark, sf_dir):
-    """The hash of a document's first 50 characters, as a routing key."""
-    return _docs(spark, sf_dir).where(F.length("text") > 0).select("doc_id", java_hash(F.substring("text", 1, 50)).alias("h"))
+    """The hash of every whole text; null counts as empty."""
+    return _docs(spark, sf_dir).select("doc_id", java_hash(F.coalesce("text", F.lit(""))).alias("h"))
 
 
 @query("stable_hash_key", "SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM documents")
 def stable_hash_key(spark, sf_dir):
-    """The hash of the whole routing key (doc_id as text) for every row; stable_hash reads 50 characters, as its SQL states."""
+    """The hash of the whole routing key (doc_id as text) for every row."""
     return _docs(spark, sf_dir).select("doc_id", java_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
 
 
