@@ -89,6 +89,34 @@ def test_pages_without_structure_are_their_text(extractor):
     assert extractor.texts(["<html><head><title>x</title></head><body>Plain &amp; simple<br>text</body></html>"])[0] == "Plain & simple text"
 
 
+LINE = "The ferry left the harbour at dawn, and the few people who had come to see it go stood in the rain until its lights were gone behind the point."
+NAV, FOOT = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav>', "<footer><p>Copyright by the publisher. All rights reserved.</p></footer>"
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f"<html><body><article><p>{LINE}</p></article></body></html>", LINE),
+        (f"<html><body>{NAV}<main><h1>A short story</h1><p>{LINE}</p></main>{FOOT}</body></html>", f"A short story\n{LINE}"),
+        (f"<html><body>{NAV}<div><h2>A short story</h2><p>{LINE}</p></div>{FOOT}</body></html>", f"A short story\n{LINE}"),
+        (f"<body>{NAV}<article><header><h1>Title</h1></header><p>It ends here.</p><aside>Read more</aside><div class='comments'>Nice!</div></article>{FOOT}", "Title\nIt ends here."),
+        (f"<body><div class='sidebar'>{NAV}<p>Ad</p></div><p>Short.</p><form><p>Name</p><input></form>{FOOT}", "Short."),
+        (f"<body>{NAV}{FOOT}</body>", ""),
+    ],
+)
+def test_short_texts_are_not_lost(extractor, source, text):
+    """What is left where the trees keep nothing; what they keep of such a page holds the paragraph too."""
+    got = extractor.texts([source])[0]
+    assert got == text or text and text.split("\n")[-1] in got.split("\n") and "Home" not in got and "Copyright" not in got
+    page = H.parse(source)
+    assert H.blocks(page, H.decoded(page, [-3.0] * len(page.parent), [1.0] * len(page.parent))) == text
+
+
+def test_a_wrapper_named_like_an_edge_hides_nothing(extractor):
+    page = H.parse(f"<body><div class='site top'><ul><li>x</li></ul><p>{LINE}</p>{FOOT}</div></body>")
+    assert H.blocks(page, H.decoded(page, [-3.0] * len(page.parent), [1.0] * len(page.parent))) == f"x\n{LINE}"
+
+
 def test_quotes_inside_unquoted_values(extractor):
     assert extractor.texts(["<p class=it's>It is here.</p><p id=a\"b>And here.</p>"])[0] == "It is here.\nAnd here."
     assert H.parse("<p title='a > b' class = \"c > d\">x</p>").runs == [(1, "x")]

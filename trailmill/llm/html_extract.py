@@ -10,7 +10,9 @@ one lets its children choose; so nothing is kept inside what was dropped, and th
 
 What lies in an element that shows no text of its own (``DROPPED``, hidden) is dropped with it. A page without any
 mark of structure (no class, id or role that hints at a part, no list, link, form, table or sectioning element) has
-nothing to tell apart: all that it shows is its text.
+nothing to tell apart: all that it shows is its text. Where the trees would keep nothing of a page that shows something,
+which short texts in bare surroundings bring about, its text is what lies in an article or main element, or else outside
+of the parts that their tag or name sets apart, or else outside of those set apart by their tag.
 
 Defined results: null, empty and text-free pages give an empty text, an empty table no rows; markup that never closes
 is closed at the end; rows are independent, so repeated rows give repeated results; equal worth is kept whole before
@@ -74,6 +76,9 @@ TAGS = ("nav", "header", "footer", "aside", "article", "main", "section", "div",
 _TAG_AT = {t: k for k, t in enumerate(TAGS)}
 #: Elements that give a page structure.
 STRUCTURE = frozenset("a nav header footer aside article main section form ul ol dl table dialog menu details fieldset input figure".split())
+#: Elements that are no main text by their tag, and hints that are no text's.
+APART = frozenset("nav header footer aside form dialog menu".split())
+_TEXT_HINT = 1 << list(HINTS).index("body")
 _INSIDE = {"a": 1, "li": 4} | dict.fromkeys(("p", "blockquote", "pre", *_HEADINGS), 2)
 _FIELDS = frozenset("input textarea select button label form".split())
 
@@ -359,7 +364,31 @@ def decoded(page: Page, score: list[float], weight: list[float], switch: float =
     """Which elements' own text is kept."""
     if not any(page.hint) and not STRUCTURE.intersection(page.tag):
         return [not h for h in page.hidden]
-    return [x in (1, 2) and not h for x, h in zip(states(page, score, weight, switch), page.hidden, strict=True)]
+    kept = [x in (1, 2) and not h for x, h in zip(states(page, score, weight, switch), page.hidden, strict=True)]
+    shown = {k for k, t in page.runs if t.strip() and not page.hidden[k]}
+    if any(kept[k] for k in shown):
+        return kept
+    for within, named in ((True, True), (False, True), (False, False)):
+        left = not_apart(page, within, named)
+        if any(left[k] for k in shown):
+            return left
+    return kept
+
+
+def not_apart(page: Page, within: bool, named: bool) -> list[bool]:
+    """Which elements lie in no part that is set apart by its tag or (``named``) by its name; ``within``: and in an article or main
+    element, where a header may stand."""
+    n = len(page.parent)
+    apart, kept = [False] * n, [False] * n
+    for k in range(n):
+        up = page.parent[k]
+        other = named and page.hint[k] and not page.hint[k] & _TEXT_HINT
+        top = page.tag[k] in ("article", "main")
+        inside = within and up >= 0 and kept[up]
+        own = page.hidden[k] or page.tag[k] in APART and not (inside and page.tag[k] == "header") or bool(other) and not top
+        apart[k] = own or up >= 0 and apart[up]
+        kept[k] = not own and (inside or top and not apart[k]) if within else not apart[k]
+    return kept
 
 
 def blocks(page: Page, kept: list[bool] | None = None) -> str:
