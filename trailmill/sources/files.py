@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmill.plans.shared_store import Store
+
 STEP = "struct<stepId:string,type:string,startedAt:timestamp,durationMs:bigint,success:boolean,input:string,output:string>"
 RUN_SCHEMA = (
     f"trajectoryId string, chatId string, policyVersion string, model string, question string, startedAt timestamp, completedAt timestamp, status string, steps array<{STEP}>, retrievedDocumentIds array<string>, finalAnswer string, "
@@ -55,6 +57,40 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return parsed.where("r._bad IS NULL").select("r.*").drop("_bad"), parsed.where("r._bad IS NOT NULL").select("value")
 
 
+def numbered_lines(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """(file, line, value) of text files, lines counted from 1. A long file is read in blocks by many tasks: within a block the
+    lines' order is that of one task's rows, and what lies before a block is the sum of the counts of the blocks before it. So
+    nothing is sorted, and the only rows that meet are one for each block of a file."""
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = store.put(spark.read.text(path).select("value", *block, F.monotonically_increasing_id().alias("row")))
+    blocks = rows.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line"), "value")
+
+
+def checked_jsonl(spark: SparkSession, path: str, schema: str, store: Store, required: tuple[str, ...] = (), key: str | None = None) -> DataFrame:
+    """The rows of JSON lines with ``file`` and ``line``, if all of them are right. Else a ``ValueError`` names the first bad line of each kind
+    by its number: no JSON object of this schema, a required field that is null or blank, a key that an earlier line has. Blank lines
+    and lines that begin with # are skipped, and counted."""
+    kept = T.StructType.fromDDL(schema).add("_bad", "string")
+    lines = numbered_lines(spark, path, store).withColumn("value", _strip("value")).where("value <> '' AND NOT startswith(value, '#')")
+    rows = lines.select("file", "line", F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.get_json_object("value", "$").alias("o"))
+    broken = F.col("r._bad").isNotNull() | F.col("o").isNull() | ~F.startswith(F.coalesce("o", F.lit("")), F.lit("{"))
+    empty = [F.when(F.col(f"r.{c}").isNull() | (_strip(F.col(f"r.{c}").cast("string")) == ""), f"no {c}") for c in required]
+    rows = store.put(rows.select("file", "line", "r", F.when(broken, "not an object of the schema").otherwise(F.coalesce(*empty, F.lit(None).cast("string"))).alias("fault")))
+    faults = rows.where("fault IS NOT NULL").select("file", "line", "fault")
+    if key:
+        again = rows.where("fault IS NULL").groupBy(F.col(f"r.{key}").alias("k")).agg(F.count("*").alias("n"), F.min(F.struct("file", "line")).alias("first")).where("n > 1")
+        twice = rows.join(again, F.col(f"r.{key}") == F.col("k")).where(F.struct("file", "line") > F.col("first"))
+        faults = faults.unionAll(twice.select("file", "line", F.lit(f"repeats {key}")))
+    found = faults.groupBy("fault").agg(F.min(F.struct("file", "line")).alias("at"), F.count("*").alias("n")).orderBy("at").collect()  # one row a kind
+    if found:
+        told = "; ".join(f"{r['at']['file'].rsplit('/', 1)[-1]}:{r['at']['line']}: {r['fault']}" + (f" (and {r['n'] - 1} more)" if r["n"] > 1 else "") for r in found)
+        raise ValueError(told)
+    return rows.select("file", "line", "r.*").drop("_bad")
+
+
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """One row per part between horizontal rules, without code blocks and quotes; the status is spelled before the extension."""
     files = spark.read.text(folder, wholetext=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
