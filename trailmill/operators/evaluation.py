@@ -11,6 +11,7 @@ from trailmill.operators.seeds import placed
 from trailmill.plans.shared_store import small
 
 WINNER_MARGIN, CRITICAL_DROP = 0.03, 0.15
+_TASK_DRAWS = 20_000_000
 
 
 def answer_scores(answers: DataFrame) -> DataFrame:
@@ -112,12 +113,13 @@ def sign_test(wins: Column, losses: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def bootstrap(pairs: DataFrame, replicates: int, seed: str, broadcast_pairs: int = 100_000) -> DataFrame:
+def bootstrap(pairs: DataFrame, replicates: int, seed: str, broadcast_pairs: int = 2_000_000) -> DataFrame:
     """Paired bootstrap of the mean delta: 95 % interval by linear quantiles, share above 0.
 
     Draw i of replicate b is the pair with number hash(seed, b, i) mod n: the same in every engine and on any
     partitioning. Pairs are the cases of a test set, numbered in the order of their ids (whole numbers by ranges, not in
-    one partition); they are broadcast up to ``broadcast_pairs`` and joined by number beyond.
+    one partition); they are broadcast (a number and a delta each) up to ``broadcast_pairs`` and joined by number beyond, where every draw
+    is shuffled. Draws are one range of numbers dealt over the tasks: a sequence of n constants would be folded into the plan.
     """
     spark = pairs.sparkSession
     whole = pairs.schema["case_id"].dataType.simpleString() in ("int", "bigint")
@@ -126,7 +128,8 @@ def bootstrap(pairs: DataFrame, replicates: int, seed: str, broadcast_pairs: int
     n = pairs.count()
     if not n:
         return spark.createDataFrame([], "n long, replicates long, low double, high double, above double")
-    drawn = spark.range(replicates).withColumnRenamed("id", "b").select("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    draws = replicates * n
+    drawn = spark.range(0, draws, 1, max(spark.sparkContext.defaultParallelism, draws // _TASK_DRAWS)).select(F.expr(f"id div {n}L").alias("b"), (F.col("id") % n).alias("i"))
     pick = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "b", "i"), 256), 1, 8), 16, 10).cast("long")
     means = drawn.select("b", F.pmod(pick, F.lit(n)).cast("int").alias("k")).join(numbered, "k").groupBy("b").agg(jround(F.avg("delta"), 8).alias("m"))
     return means.agg(F.lit(n).cast("long").alias("n"), F.count("*").alias("replicates"), jround(F.percentile("m", 0.025), 6).alias("low"), jround(F.percentile("m", 0.975), 6).alias("high"), jround(F.avg((F.col("m") > 0).cast("double")), 6).alias("above"))
