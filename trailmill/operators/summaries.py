@@ -108,11 +108,20 @@ def context_block(documents: Column) -> Column:
 
 
 def ranked_quantiles(rows: DataFrame, value: str, probability: float, *by: str) -> DataFrame:
-    """Two quantiles by index into the sorted values: floor(p (n - 1)), and (n - 1) p rounded half to even. The values of a group are ranked, not gathered."""
+    """Two quantiles by index into the sorted values: floor(p (n - 1)), and (n - 1) p rounded half to even. Numbers are counted by value, values by
+    their whole part, and only the whole part that holds an index is ranked: no task sorts a group."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("part", F.when(F.isnan(F.col("v").cast("double")), F.lit(2**63 - 1)).otherwise(F.floor("v").cast("long")))
+    parts = counts.groupBy(*by, "part").agg(F.sum("c").alias("s"))
     w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("k"), F.count("*").over(w).alias("n"))
-    at = lambda index: F.max(F.when(F.col("k") == index + 1, F.col("v")))
+    parts = parts.withColumn("n", F.sum("s").over(w)).withColumn("before", F.sum("s").over(w.orderBy("part")) - F.col("s"))
     exact = (F.col("n") - 1) * F.lit(probability)
+    holds = lambda index: (F.col("before") <= index) & (index < F.col("before") + F.col("s"))
+    parts = parts.where(holds(F.floor(exact)) | holds(F.rint(exact)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "part")]
+    near = counts.alias("a").join(parts.alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in by], "v", "c", "n", "before", F.col("a.part").alias("part"))  # two parts a group at most
+    end = F.col("before") + F.sum("c").over(Window.partitionBy(*by, "part").orderBy("v"))
+    at = lambda index: F.max(F.when((F.col("start") <= index) & (index < F.col("end")), F.col("v")))
+    ranked = near.withColumn("end", end).withColumn("start", F.col("end") - F.col("c"))
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor(exact)).alias("by_floor"), at(F.rint(exact)).alias("by_round"))
 
 
