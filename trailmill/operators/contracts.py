@@ -45,6 +45,7 @@ DAYS = [
 THREE_WORDS, FIRST_DAY_WORDS, LAST_DAY_WORDS = ["三项", "3项", "三个", "3个"], ["周一", "星期一"], ["周日", "周天", "星期日", "星期天"]
 NUMBERED = r"(?<![\p{L}\p{N}])(10|[1-9])[.、)）](?!\d)(?=\s*\S)"
 BULLETS = r"(?m)^\s*(?:#{1,6}\s*)?[-*]\s+"
+BULLET_MARKS, INLINE_STEP_MARKS = ["-", "*"], ["：", "；", ";"]
 INLINE_STEP = r"([：；;])\s*((?:10|[1-9])[.、)）])(?!\d)\s*"
 NUMBERS = r"\d{1,3}(?:\s*[,，、]\s*\d{1,3})*"
 CITATION_FORMS = [
@@ -170,7 +171,7 @@ def structured(answer: Column, terms: Column) -> Column:
     """The answer with copied alternatives cut to the first one and, where actions are asked for, inline steps on lines of their own."""
     many = F.filter(terms["concepts"], lambda c: F.contains(c, F.lit("|")) & (F.element_at(_alternatives_or_blank(c), 1) != ""))
     plain = F.aggregate(many, F.coalesce(answer, F.lit("")), lambda text, c: F.replace(text, c, F.element_at(_alternatives_or_blank(c), 1)))
-    return _let(lambda plain, actions: F.when(actions > 0, F.regexp_replace(plain, INLINE_STEP, "$1\n$2 ")).otherwise(plain), plain=plain, actions=terms["actions"])
+    return _let(lambda plain, actions: F.when((actions > 0) & _any(plain, INLINE_STEP_MARKS), F.regexp_replace(plain, INLINE_STEP, "$1\n$2 ")).otherwise(plain), plain=plain, actions=terms["actions"])
 
 
 def _alternatives_or_blank(expression: Column) -> Column:
@@ -178,11 +179,16 @@ def _alternatives_or_blank(expression: Column) -> Column:
 
 
 def observed_actions(answer: Column) -> Column:
-    """The largest of: numbers 1 to n without a gap, bullet lines, days of the week that are named."""
-    unbroken = lambda seen: F.size(F.filter(F.sequence(F.lit(1), F.lit(10)), lambda n: F.forall(F.sequence(F.lit(1), n), lambda k: F.array_contains(seen, k.cast("string")))))
-    ordinals = _let(unbroken, seen=F.regexp_extract_all(answer, F.lit(NUMBERED), 1))
+    """The largest of: numbers 1 to n without a gap, bullet lines, days of the week that are named.
+
+    A pattern is tried only on a text that holds a mark which each of its matches holds.
+    """
+    tens = F.sequence(F.lit(1), F.lit(10))
+    unbroken = lambda seen: F.aggregate(tens, F.lit(0), lambda n, _: F.when(F.array_contains(seen, (n + 1).cast("string")), n + 1).otherwise(n))
+    ordinals = F.when(~F.contains(answer, F.lit("1")), 0).otherwise(_let(unbroken, seen=F.regexp_extract_all(answer, F.lit(NUMBERED), 1)))
+    bullets = F.when(~_any(answer, BULLET_MARKS), 0).otherwise(F.size(F.regexp_extract_all(answer, F.lit(BULLETS), 0)))
     days = reduce(lambda a, b: a + b, [_any(answer, names).cast("int") for names in DAYS])
-    return F.greatest(ordinals, F.size(F.regexp_extract_all(answer, F.lit(BULLETS), 0)), days)
+    return F.greatest(ordinals, bullets, days)
 
 
 def covered(answer: Column, expression: Column, actions: Column) -> Column:

@@ -77,16 +77,28 @@ def _rendered(terms: Column, repair: Column, context: Column) -> Column:
 def _finished(told: Column, terms: Column, repair: Column, context: Column) -> Column:
     wanted = F.coalesce(terms["actions"], F.lit(0))
     plain = F.array_distinct(F.filter(F.transform(repair["actions"], lambda a: C._trimmed(F.regexp_replace(a, LEADING_MARKS, ""))), lambda a: F.length(a) >= ACTION_CHARS))
-    steps = F.transform(F.slice(plain, 1, F.greatest(wanted, F.lit(1))), lambda a, i: F.concat(F.lit("\n"), (i + 1).cast("string"), F.lit(". "), a))
-    short = (wanted > 0) & (C.observed_actions(C.structured(told["text"], terms)) < wanted) & (F.size(plain) >= wanted)
-    acted = F.when(short, _appended(told["text"], ACTION_HEADING, F.array_join(steps, ""))).otherwise(told["text"])
 
-    def assumed(text: Column, acted: Column) -> Column:
-        open_ = F.coalesce(terms["assume"], F.lit(False)) & ~C._any(C.structured(text, terms), C.ASSUMPTION_MARKS) & (F.length(repair["assumptions"]) >= EVIDENCE_CHARS)
-        last = F.when(open_, _appended(text, ASSUMPTION_HEADING, F.concat(F.lit("："), repair["assumptions"]))).otherwise(text)
-        return C._let(closed, text=C.structured(last, terms), actions=acted, open=open_)
+    # Every text that is looked at more than once is bound first: named twice, an expression is worked out twice.
+    def acting(seen: Column, wanted: Column, plain: Column) -> Column:
+        return C._let(acted, short=(wanted > 0) & (F.size(plain) >= wanted) & (C.observed_actions(seen) < wanted), wanted=wanted, plain=plain)
+
+    def acted(short: Column, wanted: Column, plain: Column) -> Column:
+        steps = F.transform(F.slice(plain, 1, F.greatest(wanted, F.lit(1))), lambda a, i: F.concat(F.lit("\n"), (i + 1).cast("string"), F.lit(". "), a))
+        text = F.when(short, _appended(told["text"], ACTION_HEADING, F.array_join(steps, ""))).otherwise(told["text"])
+        return C._let(assuming, text=text, acted=F.when(short, wanted).otherwise(0))
+
+    def assuming(text: Column, acted: Column) -> Column:
+        return C._let(assumed, text=text, acted=acted, seen=C.structured(text, terms))
+
+    def assumed(text: Column, acted: Column, seen: Column) -> Column:
+        open_ = F.coalesce(terms["assume"], F.lit(False)) & ~C._any(seen, C.ASSUMPTION_MARKS) & (F.length(repair["assumptions"]) >= EVIDENCE_CHARS)
+        return C._let(ending, text=text, actions=acted, open=open_)
+
+    def ending(text: Column, actions: Column, open: Column) -> Column:
+        last = F.when(open, _appended(text, ASSUMPTION_HEADING, F.concat(F.lit("："), repair["assumptions"]))).otherwise(text)
+        return C._let(closed, text=C.structured(last, terms), actions=actions, open=open)
 
     def closed(text: Column, actions: Column, open: Column) -> Column:
         return F.struct(text.alias("answer"), ((told["n"] > 0) | (actions > 0) | open).alias("accepted"), told["n"].alias("sections"), actions.alias("actions"), open.alias("assumed"), C.missing(terms, text, context).alias("missing"))
 
-    return C._let(assumed, text=acted, acted=F.when(short, wanted).otherwise(0))
+    return C._let(acting, seen=C.structured(told["text"], terms), wanted=wanted, plain=plain)

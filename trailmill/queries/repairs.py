@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trailmill.catalog import query
 from trailmill.operators import contracts as C
 from trailmill.operators import repairs as R
+from trailmill.plans.spreading import spread
 from trailmill.sources.tables import table
 
 _ANSWERS = ["建议从双方可接受的小事开始。", "用心对待彼此。\n", " ", "保持舒适的距离，基于现有信息。"]
@@ -46,5 +47,6 @@ def contract_repair(spark, sf_dir):
     evidence = F.array(F.struct(F.lit("concept-01").alias("id"), pick(texts(_FIRST), n % 3).alias("content")), F.struct(pick(texts(_NAMES), n % 4).alias("id"), second.alias("content")))
     repair = F.struct(pick(texts(_ANSWERS), c % 4).alias("answer"), evidence.alias("evidence"), pick(lists, n % 4).alias("actions"), pick(texts(_ASSUMED), c % 3 % 2).alias("assumptions"))
     terms = C.contract(F.array(F.lit("用心"), F.lit("边界|舒适")), None, F.lit(1), F.lit(1600), F.lit(False), F.lit(False), F.lit(True), F.lit(3))
-    rows = table(spark, sf_dir, "orders").select(n.alias("run_id"), R.rendered(terms, repair, F.lit("")).alias("r"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    rows = orders.select(n.alias("run_id"), R.rendered(terms, repair, F.lit("")).alias("r"))
     return rows.select("run_id", "r.answer", "r.accepted", "r.sections", "r.actions", "r.assumed", F.array_join("r.missing.id", ",").alias("missing_ids"))
