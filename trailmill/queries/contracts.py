@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmill.catalog import query
 from trailmill.operators import contracts as C
+from trailmill.plans.spreading import spread
 from trailmill.sources.tables import table
 
 _QUESTIONS = ["请给十五分钟话术", "给我七天小计划，标明假设", "不要追问，请给三项检查清单", "不要编造课程或案例，请复盘", "怎么办"]
@@ -19,7 +20,8 @@ def _answers(spark, sf_dir):
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
     part = lambda condition, text: F.when(condition, F.lit(text)).otherwise(F.lit(""))
     draft = F.concat(part(c % 7 < 3, _NOW), part(c % 3 == 0, _WEEK), F.repeat(F.lit("充分的说明。"), (c % 60).cast("int")), part(c % 5 == 0, _ASK))
-    rows = table(spark, sf_dir, "orders").select(n.alias("run_id"), pick(_QUESTIONS, n % 5).alias("question"), pick(_CONTEXTS, n % 3).alias("context"), draft.alias("draft"), pick([x for x, _ in _CITED], n % 4).alias("cited"), c)
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    rows = orders.select(n.alias("run_id"), pick(_QUESTIONS, n % 5).alias("question"), pick(_CONTEXTS, n % 3).alias("context"), draft.alias("draft"), pick([x for x, _ in _CITED], n % 4).alias("cited"), c)
     answer = F.concat("draft", part(F.col("o_custkey") % 3 == 1, _SAY), part(F.col("o_custkey") % 2 == 1, _STEPS), C.canonical_citations(F.col("cited")))
     return rows.withColumn("answer", answer).withColumn("contract", C.inferred(F.col("question")))
 
