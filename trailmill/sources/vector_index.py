@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmill.functions.numeric import jround
-from trailmill.operators.retrieval import top
+from trailmill.operators.retrieval import best_products, matrix, top
 from trailmill.plans.shared_store import exists, removed, subfolders
 
 VERSION = "1"
@@ -27,6 +27,14 @@ VERSION = "1"
 MOST_PIVOTS = 4096
 PART_ROWS = 16_384
 QUERY_ROWS = 8192
+#: Rows that are compared with all pivots at once.
+_ROWS = 256
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, _ROWS):
+            yield b.slice(start, _ROWS)
 
 
 def digest(rows: DataFrame) -> str:
@@ -55,11 +63,6 @@ class VectorIndex:
         return self.spark.read.schema("pivot int, direction array<double>, closeness double, length double, n long").parquet(f"{self.folder}/pivots")
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), width)
-
-
 def _directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     length = np.linalg.norm(vectors, axis=1)
     return vectors / np.where(length > 0, length, 1)[:, None], length
@@ -67,12 +70,11 @@ def _directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _nearest(pivots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                direction, length = _directions(_matrix(b.column("v"), pivots.shape[1]))
-                close = direction @ pivots.T
-                best = close.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best.astype(np.int32)), pa.array(close[np.arange(len(best)), best]), pa.array(length)], names=[*b.schema.names, "pivot", "_close", "_length"])
+        for b in _pieces(batches):
+            direction, length = _directions(matrix(b.column("v"), pivots.shape[1]))
+            close = direction @ pivots.T
+            best = close.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best.astype(np.int32)), pa.array(close[np.arange(len(best)), best]), pa.array(length)], names=[*b.schema.names, "pivot", "_close", "_length"])
 
     return run
 
@@ -125,8 +127,8 @@ def _bounds(pivots: list) -> Callable:
 
     def first(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                q = _matrix(b.column("q"), centre.shape[1])
+            for b in _pieces(batches):
+                q = matrix(b.column("q"), centre.shape[1])
                 order = np.argsort(-most(q), axis=1)
                 take = (np.cumsum(n[order], axis=1) - n[order] < k).sum(axis=1)
                 rows, at = np.repeat(np.arange(len(q)), take), np.concatenate([order[i, :t] for i, t in enumerate(take)]) if len(q) else []
@@ -136,8 +138,8 @@ def _bounds(pivots: list) -> Callable:
 
     def rest(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                q = _matrix(b.column("q"), centre.shape[1])
+            for b in _pieces(batches):
+                q = matrix(b.column("q"), centre.shape[1])
                 bound = most(q)
                 order = np.argsort(-bound, axis=1)
                 place = np.empty_like(order)
@@ -151,23 +153,6 @@ def _bounds(pivots: list) -> Callable:
     return first, rest
 
 
-def _scored(k: int, threshold: float):
-    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if len(vectors) and len(queries):
-            width = len(queries["q"][0])
-            items, ids = vectors["item_id"].to_numpy(), queries["query_id"].to_pylist()
-            scores = np.floor(_matrix(queries["q"], width) @ _matrix(vectors["v"], width).T * 1e6 + 0.5) / 1e6
-            for query, row in zip(ids, scores, strict=True):
-                good = np.flatnonzero(row >= threshold)
-                good = good[np.lexsort((items[good], -row[good]))[:k]]
-                out += zip([query] * len(good), items[good].tolist(), row[good].tolist(), strict=True)
-        cols = list(zip(*out, strict=True)) or [[]] * 3
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "item_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    return run
-
-
 def search(index: VectorIndex, queries: DataFrame, k: int, threshold: float = 0.2, where: Column | None = None) -> DataFrame:
     """query_id, item_id, score, rank: exactly the best ``k`` by dot product, at least ``threshold``. queries: query_id, q. where: over the
     index's columns; a filter may leave the nearest folders with fewer than k hits, and the search then reads on."""
@@ -193,7 +178,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, threshold: float = 0.
         parts = index.vectors().where(F.col("pivot").isin(needed)).select("pivot", "part").distinct()
         sent = wanted.select("query_id", "q", "pivot", deal).join(parts, "pivot")
         key = ["pivot", "part", "deal"]
-        return vectors.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(_scored(k, threshold), out)
+        return vectors.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(best_products(k, threshold), out)
 
     best = found(asked.mapInArrow(first(k), pairs))
     ranked = top(best, k, F.desc("score"), F.asc("item_id"))
