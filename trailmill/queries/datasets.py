@@ -127,9 +127,8 @@ SELECT l AS left_id, r AS right_id, {R("k / (na + nb - k)::DOUBLE", 6)} AS simil
 def near_dup_jaccard(spark, sf_dir):
     from trailmill.functions.numeric import jround
 
-    docs = _docs(spark, sf_dir)
-    out = D.near_matches(docs.select(F.col("doc_id").alias("left_id"), "text"), docs.select(F.col("doc_id").alias("right_id"), "text"), 0.82)
-    return out.where("left_id < right_id").withColumn("similarity", jround("similarity", 6))
+    out = D.near_pairs(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), 0.82)
+    return out.withColumn("similarity", jround("similarity", 6))
 
 
 _RULES_SQL = "length(text) >= 300 AS a, source <> 'src3' AS b, lang IN ('en', 'de') AS c"
