@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmill.functions.numeric import jround, mean_or_zero, traffic_fraction
+from trailmill.functions.numeric import exact_sum, jround, mean_or_zero, traffic_fraction
 
 SINGLE, MULTI = "SINGLE_AGENT", "ADAPTIVE_MULTI_AGENT"
 
@@ -152,7 +152,8 @@ def snips(logged: DataFrame, cap: float = 20.0, min_per_action: int = 20, min_es
     """Self-normalised inverse propensity value of the target rules: one row.
 
     logged: mode, reward, target, probability, exploration. Means are rounded before the variances are taken
-    around them, as the report does; those come from a second aggregate, not from a formula that cancels.
+    around them, as the report does; those come from a second aggregate, not from a formula that cancels. Weights are summed
+    exactly but for their last bits: few of them differ, and a running sum of equal numbers errs the same way at each step.
     """
     ok = F.col("probability").isNotNull() & ~F.isnan("probability") & (F.col("probability") > 0) & (F.col("probability") <= 1)
     reward, weight = F.coalesce("reward", F.lit(0.0)), F.least(F.lit(cap), F.when(ok, 1 / F.when(ok, F.col("probability"))))
@@ -162,7 +163,7 @@ def snips(logged: DataFrame, cap: float = 20.0, min_per_action: int = 20, min_es
     first = flagged.agg(
         F.count_if("ok").alias("logged"), F.count_if(F.col("ok") & F.col("exploration")).alias("exploratory"), F.count_if("el").alias("eligible"),
         F.count_if(F.col("el") & (F.col("mode") == SINGLE)).alias("single"), F.count_if(F.col("el") & (F.col("mode") == MULTI)).alias("multi"), F.count_if("hit").alias("matched"),
-        s(F.col("r"), "el").alias("br"), s(F.col("w"), "hit").alias("sw"), s(F.col("w") * F.col("w"), "hit").alias("sww"), s(F.col("w") * F.col("r"), "hit").alias("swr"),
+        s(F.col("r"), "el").alias("br"), exact_sum(F.when(F.col("hit"), F.col("w")), cap).alias("sw"), exact_sum(F.when(F.col("hit"), F.col("w") * F.col("w")), cap * cap).alias("sww"), s(F.col("w") * F.col("r"), "hit").alias("swr"),
     )
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(jround(a / F.when(b == 0, F.lit(None)).otherwise(b)))
     first = first.select("*", ratio(F.col("br"), F.col("eligible")).alias("behavior"), ratio(F.col("swr"), F.col("sw")).alias("policy"), ratio(F.col("sw") * F.col("sw"), F.col("sww")).alias("ess"))
