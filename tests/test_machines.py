@@ -130,3 +130,29 @@ def test_scheduled_results_swap_whole(spark):
     (mark := spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={last + 1}/_SUCCESS")).getFileSystem(spark._jsc.hadoopConfiguration()).delete(mark, False)
     assert P.published(spark, target).count() == last
     assert P.publish(spark.range(5), target) == last + 1 and P.published(spark, target).count() == 5
+
+
+def test_a_key_costs_little():
+    """Most keys have few rows, so what is done once a key must not outweigh them."""
+    import time
+
+    import pandas as pd
+
+    from trailmill.streaming import machines as M
+
+    class Held:
+        def exists(self):
+            return False
+
+        def update(self, value):
+            pass
+
+    one = M.Runs()
+    one.value, one.names = Held(), ["status", "attempt", "seen", "last_at", "last_id", "timer"]
+    frame = pd.DataFrame({"key": [1, 1, 1], "at": [5, 6, 7], "event_id": [1.0, None, 3.0], "command": ["create", "interrupted", None], "batch": [1, 1, 1]})
+    out = pd.concat(one.handleInputRows((1,), iter([frame]), None))
+    assert out.values.tolist() == [[1, 5, 1, "create", "applied", "QUEUED", 1], [1, 7, 3, None, "rejected", "QUEUED", 1]]
+    began = time.process_time()
+    for _ in range(300):
+        list(one.handleInputRows((1,), iter([frame]), None))
+    assert (time.process_time() - began) / 300 < 0.002

@@ -28,6 +28,16 @@ from trailmill.streaming.stateful import Feed
 INTERRUPTED = "interrupted"
 
 
+def _records(frame: pd.DataFrame) -> list[dict[str, Any]]:
+    """Rows as dictionaries of plain values, None for null."""
+    columns = []
+    for name in frame.columns:
+        values = frame[name].tolist()
+        # A null makes floats of whole numbers and booleans, and nan is the one value that differs from itself.
+        columns.append([None if v is None or v != v else v for v in values])
+    return [dict(zip(frame.columns, row, strict=True)) for row in zip(*columns, strict=True)]
+
+
 class Machine(StatefulProcessor):
     """``fields``: the state's fields beside the last place; ``gives``: what a step gives, after the key, time and id."""
 
@@ -74,11 +84,13 @@ class Machine(StatefulProcessor):
         self.value.update(tuple(s[k] for k in self.names))
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["key", "at", "event_id", *(f.split()[0] for f in self.gives.split(", "))]).convert_dtypes()
+        """Of stated types: to find them out costs more than all else that is done for a key. What may be null is an object."""
+        names = ["key", "at", "event_id", *(f.split()[0] for f in self.gives.split(", "))]
+        return pd.DataFrame(rows, columns=names, dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         s, out = self._load(), []
-        found = [r for frame in rows for r in frame.astype(object).where(frame.notna(), None).to_dict("records")]
+        found = [r for frame in rows for r in _records(frame)]
         for r in sorted(found, key=lambda r: (r["event_id"] is not None, r["at"] or 0, r["event_id"] or 0)):
             if r["event_id"] is not None:
                 place = (int(r["at"]), int(r["event_id"]))
@@ -87,7 +99,7 @@ class Machine(StatefulProcessor):
                 s["last_at"], s["last_id"] = place
             told = self.step(s, r)
             if told is not None:
-                out.append((key[0], s["last_at"], r["event_id"], *told))
+                out.append((key[0], s["last_at"], None if r["event_id"] is None else int(r["event_id"]), *told))
         self._save(s)
         if out:
             yield self._frame(out)
