@@ -132,3 +132,13 @@ def test_processors_against_a_plain_replay(monkeypatch, stretch, n_items, n_rows
                 want += [(1, d, i, batch, "enter" if i not in old else "exit" if i not in new else "move", old.get(i), new.get(i), int(revenue[i])) for i in old.keys() | new.keys() if old.get(i) != new.get(i)]
                 board = best
         assert len(got) == len(want) and set(got) == set(want)
+
+
+def test_lines_are_not_sorted_for_their_joins(spark):
+    from trailmill.llm.leaderboard import lines_of
+    from trailmill.plans.shared_store import Store
+    from trailmill.sources.tables import table
+
+    lines = lines_of(*(table(spark, "/root/testdata/sf0.001", t) for t in ("sale_lines", "vendors", "items")), Store(spark, "t"))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan

@@ -261,7 +261,8 @@ def _cents(amount: Column) -> Column:
 def lines_of(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame, store: Store, batches: int = BATCHES) -> DataFrame:
     """``LINES`` of the shop's tables: one row per line, with null cents where the item is not known. Both small sides are
     shuffled, since they grow with the shop. They are made unique and written first: a join of plain exchanges is one
-    whose hot partitions Spark can split."""
+    whose hot partitions Spark can split. Lines are not sorted for it: a task hashes its part of the small side, a row a key, and hot keys
+    make that no larger."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     h = F.crc32(F.concat_ws(",", text("sale_id"), text("item_id"), text("vendor_id"), text("line_no")).cast("binary"))
     lines = sale_lines.select("item_id", "vendor_id", "quantity", "amount", "flag", h.alias("h"), F.unix_date(F.to_date("shipped_at")).cast("long").alias("shipped"))
@@ -269,8 +270,8 @@ def lines_of(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame, store:
     lines = lines.withColumn("arrival_day", F.col("day") + F.col("h") % 7 + F.when(F.col("h") % 5 == 0, 20).otherwise(0))
     batch = F.least(F.lit(batches), 1 + F.floor((F.col("arrival_day") - FIRST_DAY) * batches / DAYS))
     lines = lines.withColumn("batch", F.greatest(F.lit(1), batch).cast("int"))
-    nations = store.put(vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id"))).hint("merge")
-    prices = store.put(items.groupBy("item_id").agg(F.max("price").alias("price"), F.lit(True).alias("known"))).hint("merge")
+    nations = store.put(vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id"))).hint("shuffle_hash")
+    prices = store.put(items.groupBy("item_id").agg(F.max("price").alias("price"), F.lit(True).alias("known"))).hint("shuffle_hash")
     joined = lines.join(nations, "vendor_id", "left").join(prices, "item_id", "left")
     cents = F.coalesce(_cents(F.col("amount")), F.col("quantity") * _cents(F.col("price")), F.lit(0.0))
     cents = F.when(F.col("known"), F.when(F.col("flag") == "swapped", -cents).otherwise(cents))
