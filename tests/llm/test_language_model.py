@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from trailmill.llm import language_model as M
 from trailmill.plans.shared_store import Store
@@ -94,3 +95,16 @@ def test_learns_order():
 
 def test_empty_table(spark, empty):
     assert M.scored(empty, Store(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("frequent", [[], [b"a"], [M.END, b"a", b"bb"]])
+def test_words_of_many_texts_at_once(frequent):
+    words = M.Words([(w, 3) for w in frequent], np.zeros(M.ENDINGS))
+    texts = [b"a b\tA c c", b"", b"c bb zz", b" \n", b"zz zz a"]
+    found = list(words.texts(texts))
+    for text, (ids, classes, rare), alone in zip(texts, found, words.class_lists(texts), strict=True):
+        tokens = M._tokens(text)
+        assert ids.tolist() == [frequent.index(t) if t in frequent else -1 for t in tokens]
+        assert dict(rare) == {t: tokens.count(t) for t in tokens if t not in frequent}
+        assert classes.tolist() == alone.tolist() and len(classes) == len(tokens)
+    assert list(words.texts([])) == list(words.class_lists([])) == []

@@ -100,11 +100,12 @@ class Gru:
     def log_probs(self, states: np.ndarray, x: np.ndarray) -> np.ndarray:
         """log10 of the probability of each class in x."""
         w = self.parts(self.weights)
-        logits = states.reshape(-1, HIDDEN) @ w["wo"] + w["bo"]
+        logits = states.reshape(-1, HIDDEN) @ w["wo"]
+        logits += w["bo"]
         top = logits.max(1)
         logits -= top[:, None]
         own = logits[np.arange(len(logits)), x.ravel()]
-        return ((own - np.log(np.exp(logits).sum(1))) / np.float32(math.log(10))).reshape(x.shape)
+        return ((own - np.log(np.exp(logits, out=logits).sum(1))) / np.float32(math.log(10))).reshape(x.shape)
 
     def learn(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One step of Adam over one window; returns the state after it, through which no gradient flows."""
@@ -116,13 +117,17 @@ class Gru:
         if not seen.any():
             return after
         flat = states.reshape(-1, k)
-        logits = flat @ w["wo"] + w["bo"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(1, keepdims=True)
+        # In place: such a matrix is larger than a core's cache.
+        p = flat @ w["wo"]
+        p += w["bo"]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        share = seen / np.float32(seen.sum())
+        p *= (share / p.sum(1))[:, None]
+        at = (np.arange(len(p)), x.ravel())
+        p[at] -= share
         hot = np.zeros_like(p)
-        hot[np.arange(len(p)), x.ravel()] = seen
-        p = (p * seen[:, None] - hot) / np.float32(seen.sum())
+        hot[at] = seen
         g["wo"][:], g["bo"][:] = flat.T @ p, p.sum(0)
         d_states = (p @ w["wo"].T).reshape(states.shape)
         d, gates = np.zeros_like(after), np.empty((*x.shape, 3 * k), np.float32)
@@ -248,17 +253,35 @@ class Words:
             out[k] = OWN_CLASS + ending(words[k])
         return ids, out
 
-    def texts(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, Counter]]:
-        """(numbers, classes, words without a number) of the tokens of each text; each different word is looked up once."""
+    def _placed(self, texts: list[bytes]):
+        """(places of the tokens among the words, where texts begin, words with the end, their numbers, their classes)"""
         number, words, begin = numbered(texts, lower=True)
         words = [*words.to_pylist(), END]
-        ids, classes = self.classed(words)
-        last = len(words) - 1
+        return number, begin, words, *self.classed(words)
+
+    def class_lists(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The classes of the tokens of each text: all that training needs."""
+        number, begin, _, _, classes = self._placed(texts)
+        known, last = classes[number], classes[-1]
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            mine = np.append(number[a:b], last)
-            own = ids[mine]
-            some, n = np.unique(mine[own < 0], return_counts=True)
-            yield own, classes[mine], Counter(dict(zip([words[k] for k in some.tolist()], n.tolist(), strict=True)))
+            yield np.append(known[a:b], last)
+
+    def texts(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, dict[bytes, int]]]:
+        """(numbers, classes, words without a number) of the tokens of each text; each different word is looked up once, and words
+        without a number are counted for all texts at once."""
+        number, begin, words, ids, classes = self._placed(texts)
+        own, known = ids[number], classes[number]
+        rest = np.flatnonzero(own < 0)
+        owner = np.repeat(np.arange(len(texts)), np.diff(begin))[rest]
+        pairs, n = np.unique(owner * len(words) + number[rest], return_counts=True)
+        edges = np.searchsorted(pairs, np.arange(len(texts) + 1) * len(words)).tolist()
+        which, n = (pairs % len(words)).tolist(), n.tolist()
+        for d, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+            c, e = edges[d], edges[d + 1]
+            rare = {words[k]: m for k, m in zip(which[c:e], n[c:e], strict=True)}
+            if ids[-1] < 0:
+                rare[END] = 1
+            yield np.append(own[a:b], ids[-1]), np.append(known[a:b], classes[-1]), rare
 
 
 def _class_of(n: int) -> int:
@@ -274,7 +297,7 @@ def _train_partition(words, start: np.ndarray, rate: float, buffer: int = BUFFER
             keys = b.column(0).to_pylist()
             for first, texts in pieces(b.column(1)):
                 mine = [t for key, t in zip(keys[first : first + len(texts)], texts, strict=True) if not held_out(key)]
-                for _, classes, _ in words.value.texts(mine):
+                for classes in words.value.class_lists(mine):
                     c = _class_of(len(classes))
                     held[c].append(classes)
                     size[c] += len(classes)
@@ -350,7 +373,7 @@ def fit(docs: DataFrame, counts: DataFrame, key: str) -> tuple[Words, np.ndarray
     warm, size = [], 0
     mine = [t for k, t in zip(sample.column(0).to_pylist(), _texts(sample.column(1)), strict=True) if not held_out(k)]
     del sample
-    for _, classes, _ in words.texts(mine):
+    for classes in words.class_lists(mine):
         if size < 2 * WARM_TOKENS:
             warm.append(classes)
             size += len(classes)
