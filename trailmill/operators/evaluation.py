@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.functions.digests import leading_words
 from trailmill.functions.numeric import jround, stable
 from trailmill.functions.text import any_phrase, citations, concept_coverage, length_quality
 from trailmill.operators.seeds import placed
-from trailmill.plans.shared_store import small
 
 WINNER_MARGIN, CRITICAL_DROP = 0.03, 0.15
-_TASK_DRAWS = 20_000_000
+_TASK_DRAWS, _DRAWS_AT_ONCE = 4_000_000, 1 << 15
 
 
 def answer_scores(answers: DataFrame) -> DataFrame:
@@ -113,25 +118,51 @@ def sign_test(wins: Column, losses: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
+def _drawn(seed: str, n: int, draws: int, step: int, values: Broadcast | None):
+    """From first numbers of ``step`` draws each to (b, s, c): what the draws of a replicate among them sum up to, and how many have a value;
+    without values to (b, k): each draw's pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first in (x for batch in batches for x in batch.column(0).to_pylist()):
+            ids = np.arange(first, min(first + step, draws))
+            b, i = np.divmod(ids, n)
+            k = (leading_words(seed, b, i) % n).astype(np.int32)
+            if values is None:
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(k)], names=["b", "k"])
+                continue
+            taken, starts = values.value[k], np.flatnonzero(np.diff(b, prepend=-1))
+            known = ~np.isnan(taken)
+            yield pa.RecordBatch.from_arrays([pa.array(b[starts]), pa.array(np.add.reduceat(np.where(known, taken, 0.0), starts)), pa.array(np.add.reduceat(known.astype(np.int64), starts))], names=["b", "s", "c"])
+
+    return run
+
+
 def bootstrap(pairs: DataFrame, replicates: int, seed: str, broadcast_pairs: int = 2_000_000) -> DataFrame:
     """Paired bootstrap of the mean delta: 95 % interval by linear quantiles, share above 0.
 
     Draw i of replicate b is the pair with number hash(seed, b, i) mod n: the same in every engine and on any
     partitioning. Pairs are the cases of a test set, numbered in the order of their ids (whole numbers by ranges, not in
-    one partition); they are broadcast (a number and a delta each) up to ``broadcast_pairs`` and joined by number beyond, where every draw
-    is shuffled. Draws are one range of numbers dealt over the tasks: a sequence of n constants would be folded into the plan.
+    one partition); up to ``broadcast_pairs`` their deltas go to every task (8 bytes each), which sums up its draws, and beyond they are joined by number,
+    where every draw is shuffled. Draws are one range of numbers, of which a row is a block's first: a sequence of n constants would be folded into the plan.
     """
     spark = pairs.sparkSession
     whole = pairs.schema["case_id"].dataType.simpleString() in ("int", "bigint")
     numbered = placed(pairs, "case_id", "k").select(F.col("k").cast("int").alias("k"), "delta") if whole else pairs.selectExpr("cast(row_number() over (order by case_id) - 1 as int) as k", "delta")
-    numbered = F.broadcast(numbered) if small(pairs, broadcast_pairs) else numbered
     n = pairs.count()
     if not n:
         return spark.createDataFrame([], "n long, replicates long, low double, high double, above double")
     draws = replicates * n
-    drawn = spark.range(0, draws, 1, max(spark.sparkContext.defaultParallelism, draws // _TASK_DRAWS)).select(F.expr(f"id div {n}L").alias("b"), (F.col("id") % n).alias("i"))
-    pick = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "b", "i"), 256), 1, 8), 16, 10).cast("long")
-    means = drawn.select("b", F.pmod(pick, F.lit(n)).cast("int").alias("k")).join(numbered, "k").groupBy("b").agg(jround(F.avg("delta"), 8).alias("m"))
+    tasks = max(spark.sparkContext.defaultParallelism, draws // _TASK_DRAWS)
+    step = max(1, min(_DRAWS_AT_ONCE, draws // tasks))
+    blocks = spark.range(0, draws, step, tasks)
+    if n <= broadcast_pairs:
+        known = numbered.toArrow()
+        deltas = np.full(n, np.nan)
+        deltas[known["k"].to_numpy()] = known["delta"].to_numpy().astype(np.float64)
+        sums = blocks.mapInArrow(_drawn(seed, n, draws, step, spark.sparkContext.broadcast(deltas)), "b long, s double, c long").groupBy("b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+        means = sums.select("b", jround(F.when(F.col("c") > 0, F.col("s") / F.when(F.col("c") > 0, F.col("c"))), 8).alias("m"))
+    else:
+        means = blocks.mapInArrow(_drawn(seed, n, draws, step, None), "b long, k int").join(numbered, "k").groupBy("b").agg(jround(F.avg("delta"), 8).alias("m"))
     return means.agg(F.lit(n).cast("long").alias("n"), F.count("*").alias("replicates"), jround(F.percentile("m", 0.025), 6).alias("low"), jround(F.percentile("m", 0.975), 6).alias("high"), jround(F.avg((F.col("m") > 0).cast("double")), 6).alias("above"))
 
 
